@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, packing, simhash, toxicity
+from . import chat, exact_dedup, fingerprint, line_dedup, mixing, packing, simhash, token_counts, toxicity, warc
 from .common import read
 
 
@@ -16,6 +16,26 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_report(read(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(token_counts.with_sample_edits(read(spark, sf_dir, "documents")))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "source", "epoch")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "lines_deleted")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -28,5 +48,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op8_exact_dedup, op9_toxicity, op10_simhash_near_dedup)}
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_document_fingerprints,
+        op3_chat_formatting,
+        op4_token_counts,
+        op5_source_mixing,
+        op6_warc,
+        op7_line_dedup,
+        op8_exact_dedup,
+        op9_toxicity,
+        op10_simhash_near_dedup,
+    )
+}
+ORACLE_SQL = {"op3_chat_formatting": chat.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The bound of the training sample.
 MAX_ROWS, MAX_CHARS = 8_000, 30_000_000
@@ -155,7 +156,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             got = pa.array([own.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*fields, "toxicity"])
 
-    return docs.mapInArrow(run, docs.schema.add("toxicity", "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
