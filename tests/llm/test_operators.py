@@ -271,7 +271,7 @@ def test_toxicity(spark, none):
         bad = i % 5 == 0
         text = words(rng, rng.randint(5, 60)).split()
         if bad:
-            text[rng.randint(0, len(text))] = rng.choice(["scoundrel", "nitwit,"])
+            text[rng.randrange(len(text))] = rng.choice(["scoundrel", "nitwit,"])
         rows.append((i, " ".join(text), None, None, None, None))
         labels.append((i, 1, int(bad)))
     rows += [(5000, None, None, None, None, None), (5001, "", None, None, None, None), (None, "nitwit", None, None, None, None)]
