@@ -101,7 +101,7 @@ def test_fingerprints(docs, none):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
         error += [r.near_edited - likeness(t, edited), r.near_next - likeness(t, text[after[r.doc_id]])]
-    assert max(map(abs, error)) < 0.3 and abs(np.mean(error)) < 0.03
+    assert max(map(abs, error)) < 0.4 and abs(np.mean(error)) < 0.05
     assert fingerprint.fingerprint_report(none).count() == 0
 
 
