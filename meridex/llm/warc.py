@@ -67,14 +67,14 @@ def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     # ids and digests alone are grouped; the texts are joined with what was decided for few of them
     slim = written(rows.select("page_id", "digest", "n").groupBy("page_id", "digest", "n").agg(F.count(F.lit(1)).alias("copies")), "payload-digests")
-    groups = slim.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.sum("copies").alias("size")).where("size > 1")
-    rows = rows.join(groups, "digest", "left")
-    # of rows that repeat id and payload of the response one is it: the others revisit
-    twin = slim.where("copies > 1 or page_id is null").select("page_id", "digest").join(groups.select("digest", "top"), "digest").where(F.col("page_id").eqNullSafe(F.col("top"))).select("digest", F.lit(True).alias("twins"))
-    rows = rows.join(twin, "digest", "left")
-    plain = rows.where("twins is null").withColumn("nth", F.lit(1))
-    doubled = rows.where("twins").withColumn("nth", F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")))
-    rows = plain.unionByName(doubled)
+    # of rows that repeat id and payload of the response one is it: twins tells whether there are any
+    groups = slim.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.sum("copies").alias("size"), F.max_by("copies", "page_id").alias("top_copies")).where("size > 1")
+    groups = groups.select("digest", "top", "size", (F.col("top").isNull() | (F.col("top_copies") > 1)).alias("twins"))
+    rows = rows.join(groups, "digest", "left").withColumn("twins", F.coalesce("twins", F.lit(False)) & F.col("page_id").eqNullSafe(F.col("top")))
+    rows = rows.withColumn("nth", F.lit(1))
+    if not groups.where("twins").isEmpty():  # repeated rows need a number among themselves, and the join a second time
+        own = Window.partitionBy("digest", "page_id").orderBy("url")
+        rows = rows.where("not twins").unionByName(rows.where("twins").withColumn("nth", F.row_number().over(own)))
     is_response = F.col("size").isNull() | (F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1))
     return rows.select("page_id", "url", "html", (~is_response).alias("revisit"), F.when(~is_response, F.col("top")).alias("refers_to"))
 
