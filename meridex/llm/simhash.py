@@ -211,19 +211,31 @@ def near_components(fps: DataFrame, lanes: int, max_distance: int, radius: int,
     """
     layout, thresholds = plan(fps, 64 * lanes, radius, parts, correlate)
     used = [(i, p, t) for i, (p, t) in enumerate(zip(layout, thresholds, strict=True)) if t >= 0]
-    fp = F.col("fp")
-    values = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), part_value(fp, p).alias("value")) for i, p, _ in used)))
-    members = written(fps.select("fid", "fp", "docs", values.alias("x")).select("x.part", "x.value", "fid", "fp", "docs"), "members")
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), part_value(F.col("fp"), p).alias("value")) for i, p, _ in used)))
+    members = written(fps.select("fid", "docs", values.alias("x")).select("x.part", "x.value", "fid", "docs"), "members")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs of fingerprints (a, b) those that are near; the tables before carry names only, not fingerprints."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for side in "ab":
+            pairs = pairs.join(fps.select(F.col("fid").alias(side), F.col("fp").alias(f"fp_{side}")), side)
+        return pairs.where(distance(F.col("fp_a"), F.col("fp_b"), lanes) <= max_distance).select("a", "b")
 
     # links to the leader of each value, then the sets that they unite
-    lead = members.groupBy("part", "value").agg(F.max_by(F.struct("fid", "fp"), F.struct("docs", F.xxhash64("fid"))).alias("lead"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    star = members.join(lead, ["part", "value"]).where((F.col("fid") != F.col("lead.fid")) & (distance(fp, F.col("lead.fp"), lanes) <= max_distance))
-    star = written(star.select(F.col("fid").alias("a"), F.col("lead.fid").alias("b")).distinct(), "star")
+    lead = members.groupBy("part", "value").agg(F.max_by("fid", F.struct("docs", F.xxhash64("fid"))).alias("lead"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    if not any(t for *_, t in used):  # only equal values meet: values of one member are of no use
+        shared = written(members.join(lead, ["part", "value"]).select("part", "value", "fid", "lead"), "members")
+        dropped(members)
+        members = shared
+        led = members
+    else:
+        led = members.join(lead, ["part", "value"])
+    star = written(verified(led.where(F.col("fid") != F.col("lead")).select(F.col("fid").alias("a"), F.col("lead").alias("b"))), "star")
     united = connected_components(star)
 
     # each member with its set; each value with its largest set
     sets = fps.select("fid").join(united.withColumnRenamed("node", "fid"), "fid", "left").select("fid", F.coalesce("root", "fid").alias("set"))
-    members_in = written(members.drop("docs").join(sets, "fid"), "members")
+    members_in = written(members.select("part", "value", "fid").join(sets, "fid"), "members")
     dropped(members)
     largest = members_in.groupBy("part", "value", "set").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "value").agg(F.max_by("set", F.struct("n", "set")).alias("largest"))
     # a probe with its partition's masks; of two values that differ, the one with the lowest differing bit set probes
@@ -234,15 +246,18 @@ def near_components(fps: DataFrame, lanes: int, max_distance: int, radius: int,
         probes = probes.withColumn("mask", F.explode(by_part[F.col("part")])).where((F.col("mask") == 0) | (F.col("value").bitwiseAND(F.col("mask")).bitwiseAND(-F.col("mask")) != 0))
         probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
     probes = written(probes.join(largest, ["part", "value"]), "probes")
-    valued = written(members_in.join(largest, ["part", "value"]).select("part", "value", F.col("fid").alias("fid2"), F.col("fp").alias("fp2"), F.col("set").alias("set2"), (F.col("set") == F.col("largest")).alias("inside")), "valued")
+    valued = written(members_in.join(largest, ["part", "value"]).select("part", "value", F.col("fid").alias("fid2"), F.col("set").alias("set2"), (F.col("set") == F.col("largest")).alias("inside")), "valued")
     dropped(members_in)
     outside, inside = valued.where(~F.col("inside")), valued.where("inside")
-    near = (F.col("set") != F.col("set2")) & (distance(F.col("fp"), F.col("fp2"), lanes) <= max_distance)
-    found = probes.join(outside, ["part", "value"]).where(near).select("fid", "fid2")
-    found = found.union(probes.where(F.col("set") != F.col("largest")).join(inside, ["part", "value"]).where(near).select("fid", "fid2"))
-    links = star.union(found.toDF("a", "b").distinct())
-    out = connected_components(links)
+    apart = F.col("set") != F.col("set2")
+    if lanes == 1:  # the name is the fingerprint
+        apart = apart & (F.bit_count(F.col("fid").bitwiseXOR(F.col("fid2"))) <= max_distance)
+    found = probes.join(outside, ["part", "value"]).where(apart).select("fid", "fid2")
+    found = found.union(probes.where(F.col("set") != F.col("largest")).join(inside, ["part", "value"]).where(apart).select("fid", "fid2"))
+    found = found.toDF("a", "b")
+    links = written(star.union(found.distinct() if lanes == 1 else verified(found)), "links")
     dropped(probes, valued)
+    out = connected_components(links)
     return out
 
 
