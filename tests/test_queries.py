@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from meridex.plans import lexicon, registry  # noqa: F401
+from meridex.plans import host, lexicon, registry  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
