@@ -205,60 +205,64 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def near_components(fps: DataFrame, lanes: int, max_distance: int, radius: int, parts: tuple[int, ...], correlate: bool = True) -> DataFrame:
-    """fid, root of the distinct fingerprints (fid, fp, docs) that have a link: at most max_distance bits differ.
+    """node, root of the distinct fingerprints (fid, fp, docs) that have a link: at most max_distance bits differ.
 
     Complete for links of at most radius bits; beyond it a link is found if some partition is within its threshold.
+    Candidates are verified in the condition of the join that meets them, so that none but links is ever a row. Where only
+    equal values meet, fingerprints are attached to the rows of values that several have, and to no others.
     """
     layout, thresholds = plan(fps, 64 * lanes, radius, parts, correlate)
     used = [(i, p, t) for i, (p, t) in enumerate(zip(layout, thresholds, strict=True)) if t >= 0]
+    exact = not any(t for *_, t in used)
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), part_value(F.col("fp"), p).alias("value")) for i, p, _ in used)))
+    key = ["part", "value"]
     members = written(fps.select("fid", "docs", values.alias("x")).select("x.part", "x.value", "fid", "docs"), "members")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs of fingerprints (a, b) those that are near; the tables before carry names only, not fingerprints."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for side in "ab":
-            pairs = pairs.join(fps.select(F.col("fid").alias(side), F.col("fp").alias(f"fp_{side}")), side)
-        return pairs.where(distance(F.col("fp_a"), F.col("fp_b"), lanes) <= max_distance).select("a", "b")
+    if exact:
+        shared = members.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+        narrow, members = members, members.join(shared, key)
+    if lanes > 1:  # else the name is the fingerprint
+        members = members.join(fps.select("fid", "fp"), "fid")
+    if exact:
+        members = written(members, "shared-members")
+        dropped(narrow)
+    own = ["fid", "fp"] if lanes > 1 else ["fid"]
+    other = [F.col(c).alias(f"{c}2") for c in own]
+    near = (distance(F.col("fp"), F.col("fp2"), lanes) if lanes > 1 else F.bit_count(F.col("fid").bitwiseXOR(F.col("fid2")))) <= max_distance
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("fid", "fid2").alias("a"), F.greatest("fid", "fid2").alias("b")).distinct()
 
     # links to the leader of each value, then the sets that they unite
-    lead = members.groupBy("part", "value").agg(F.max_by("fid", F.struct("docs", F.xxhash64("fid"))).alias("lead"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    if not any(t for *_, t in used):  # only equal values meet: values of one member are of no use
-        shared = written(members.join(lead, ["part", "value"]).select("part", "value", "fid", "lead"), "members")
-        dropped(members)
-        members = shared
-        led = members
-    else:
-        led = members.join(lead, ["part", "value"])
-    star = written(verified(led.where(F.col("fid") != F.col("lead")).select(F.col("fid").alias("a"), F.col("lead").alias("b"))), "star")
+    lead = members.groupBy(*key).agg(F.max_by(F.struct(*own), F.struct("docs", F.xxhash64("fid"))).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    lead = lead.select(*key, *(F.col(f"lead.{c}").alias(f"{c}2") for c in own))
+    star = written(links_of(members.join(lead, key).where((F.col("fid") != F.col("fid2")) & near)), "star")
     united = connected_components(star)
 
     # each member with its set; each value with its largest set
-    sets = fps.select("fid").join(united.withColumnRenamed("node", "fid"), "fid", "left").select("fid", F.coalesce("root", "fid").alias("set"))
-    members_in = written(members.select("part", "value", "fid").join(sets, "fid"), "members")
+    placed = members.drop("docs").join(united.withColumnRenamed("node", "fid"), "fid", "left")
+    members_in = written(placed.select(*key, *own, F.coalesce("root", "fid").alias("set")), "members")
     dropped(members)
-    largest = members_in.groupBy("part", "value", "set").agg(F.count(F.lit(1)).alias("n")).groupBy("part", "value").agg(F.max_by("set", F.struct("n", "set")).alias("largest"))
-    # a probe with its partition's masks; of two values that differ, the one with the lowest differing bit set probes
-    masks = {i: _masks(len(p), t) for i, p, t in used}
-    by_part = F.create_map(*(x for i, ms in masks.items() for x in (F.lit(i), F.array(*map(F.lit, ms))))) if any(t for _, _, t in used) else None
-    probes = members_in
-    if by_part is not None:
-        probes = probes.withColumn("mask", F.explode(by_part[F.col("part")])).where((F.col("mask") == 0) | (F.col("value").bitwiseAND(F.col("mask")).bitwiseAND(-F.col("mask")) != 0))
+    largest = members_in.groupBy(*key, "set").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("set", F.struct("n", "set")).alias("largest"), F.count(F.lit(1)).alias("sets"))
+    if exact:  # a value whose members are all of one set has nothing more to link
+        valued = probes = written(members_in.join(largest.where("sets > 1").drop("sets"), key), "valued")
+    else:
+        largest = largest.drop("sets")
+        # a probe with its partition's masks; of two values that differ, the one with the lowest differing bit set probes
+        by_part = F.create_map(*(x for i, p, t in used for x in (F.lit(i), F.array(*map(F.lit, _masks(len(p), t))))))
+        probes = members_in.withColumn("mask", F.explode(by_part[F.col("part")])).where((F.col("mask") == 0) | (F.col("value").bitwiseAND(F.col("mask")).bitwiseAND(-F.col("mask")) != 0))
         probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("mask").cast("long"))).drop("mask")
-    probes = written(probes.join(largest, ["part", "value"]), "probes")
-    valued = written(members_in.join(largest, ["part", "value"]).select("part", "value", F.col("fid").alias("fid2"), F.col("set").alias("set2"), (F.col("set") == F.col("largest")).alias("inside")), "valued")
+        probes = written(probes.join(largest, key), "probes")
+        valued = written(members_in.join(largest, key), "valued")
     dropped(members_in)
-    outside, inside = valued.where(~F.col("inside")), valued.where("inside")
-    apart = F.col("set") != F.col("set2")
-    if lanes == 1:  # the name is the fingerprint
-        apart = apart & (F.bit_count(F.col("fid").bitwiseXOR(F.col("fid2"))) <= max_distance)
-    found = probes.join(outside, ["part", "value"]).where(apart).select("fid", "fid2")
-    found = found.union(probes.where(F.col("set") != F.col("largest")).join(inside, ["part", "value"]).where(apart).select("fid", "fid2"))
-    found = found.toDF("a", "b")
-    links = written(star.union(found.distinct() if lanes == 1 else verified(found)), "links")
-    dropped(probes, valued)
-    out = connected_components(links)
-    return out
+    met = valued.select(*key, *other, F.col("set").alias("set2"), (F.col("set") == F.col("largest")).alias("inside"))
+    apart = (F.col("set") != F.col("set2")) & near
+    outer = F.col("set") != F.col("largest")
+    found = links_of(probes.where(outer).join(met, key).where(apart))
+    if not exact:  # a probe reaches values that don't probe back
+        found = found.union(links_of(probes.where(~outer).join(met.where("NOT inside"), key).where(apart)))
+    links = written(star.union(found), "links")
+    dropped(probes, valued, star)
+    return connected_components(links)
 
 
 def near_duplicates(
