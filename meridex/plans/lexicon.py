@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, graph, votes
+from ..operators import audit, backfill, graph, grounding, votes
 from .registry import query
 
 
@@ -353,3 +353,43 @@ def mapping_majority(spark, sf_dir):
 def intent_unanimity(spark, sf_dir):
     outcome = F.when(F.count_distinct("relation") > 1, "no_unanimous_tags").when(F.min("confidence") >= 8, "stored").otherwise("below_threshold")
     return lineitem_votes(spark, sf_dir).groupBy("key").agg(outcome.alias("outcome"), F.min("confidence").alias("confidence"))
+
+
+#: Opinions and terms by order: relation, confidence, faithfulness and wording from the order key.
+OPINIONS_SQL = "SELECT o_orderkey AS id, ['critic', 'explorer'][a + 1] AS agent, ['challenge', 'irrelevant', 'discriminate', 'clarify', 'enrich', 'corroborate'][CAST((o_orderkey * (a + 3) // 7) % 6 + 1 AS INTEGER)] AS relation, (o_orderkey * (a + 5) % 101) / 10.0 AS confidence, o_orderkey % (13 + a) <> 0 AS faithful, CASE WHEN o_orderkey % (5 + a * 20) = 0 THEN 'other' ELSE 'same' END AS definition FROM orders, range(2) r(a)"
+TERM_SQL = "SELECT o_orderkey AS id, o_orderkey % 19 = 0 AS no_text, (o_orderkey * 3 % 101) / 20.0 AS corpus, o_orderkey % 8 = 0 AS copied FROM orders"
+
+
+@query(
+    "grounding_decision",
+    f"""WITH o AS (SELECT id, min(list_position(['challenge', 'irrelevant', 'discriminate', 'clarify', 'enrich', 'corroborate'], relation)) AS rank, bool_or(relation = 'irrelevant') AS dismissed, bool_and(faithful) AS faithful, min(confidence) AS least, count(DISTINCT definition) AS wordings FROM ({OPINIONS_SQL}) GROUP BY id),
+    d AS (SELECT id, rank, least, corpus, CASE WHEN rank = 1 THEN 'challenged' WHEN no_text THEN 'no_corpus_definition' WHEN NOT faithful OR dismissed THEN 'unchanged' WHEN wordings > 1 THEN 'not_ratified' WHEN copied THEN 'copied' WHEN least < corpus THEN 'below_corpus' ELSE 'adopted' END AS outcome FROM ({TERM_SQL}) JOIN o USING (id))
+    SELECT id, ['challenge', 'irrelevant', 'discriminate', 'clarify', 'enrich', 'corroborate'][rank] AS relation, outcome, CASE outcome WHEN 'challenged' THEN least(corpus, least) WHEN 'adopted' THEN least ELSE corpus END AS confidence FROM d""",
+)
+def grounding_decision(spark, sf_dir):
+    k = F.col("id")
+    ids = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    a = F.col("a")
+    relation = F.element_at(F.array(*map(F.lit, grounding.RELATIONS)), (F.floor(k * (a + 3) / 7) % 6 + 1).cast("int"))
+    opinions = ids.withColumn("a", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "id",
+        F.when(a == 0, "critic").otherwise("explorer").alias("agent"),
+        relation.alias("relation"),
+        (k * (a + 5) % 101 / 10).alias("confidence"),
+        (k % (13 + a) != 0).alias("faithful"),
+        F.when(k % (5 + a * 20) == 0, "other").otherwise("same").alias("definition"),
+    )
+    terms = ids.select("id", F.when(k % 19 != 0, "text").alias("corpus_definition"), (k * 3 % 101 / 20).alias("corpus_confidence"), (k % 8 == 0).alias("copied"))
+    return grounding.decide_grounding(opinions, terms)
+
+
+@query("embedding_backfill")
+def embedding_backfill(spark, sf_dir):
+    """Parts as entries, a third of them current; the backend is a stand-in that counts letters."""
+    part = t(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("label"), F.concat_ws(": ", "p_name", "p_type").alias("text"), F.col("p_type").alias("fallback"), (F.col("p_partkey") % 3 == 0).alias("current"))
+    stored = part.where("current").select("label", F.lit("letters").alias("model"), F.sha2("text", 256).alias("source_hash"))
+    return backfill.backfill(part.drop("current"), stored, "letters", _letters)
+
+
+def _letters(texts: list[str]) -> list[list[float] | None]:
+    return [[float(text.lower().count(c)) for c in "aeiou"] for text in texts]
