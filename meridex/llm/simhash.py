@@ -280,15 +280,143 @@ def near_duplicates(
     return join_groups(rows.select("doc_id", "fid", "fp"), classes, ["fid"], "docs", rows.count()).select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-#: A pipeline's near-duplicates: five-word shingles, similarity of 0.8. Sets with a Jaccard similarity of 0.8 have vectors
-#: with a cosine of 2 * 0.8 / 1.8, so a bit differs with probability acos(0.889) / pi = 0.1515: 155 of 1,024 bits.
-STAGE = {"words": 5, "bits": 1024, "max_distance": 155, "radius": 45, "parts": (46,), "correlate": False}
+# The pipeline's near-duplicates: five-word shingle sets with a Jaccard similarity of 0.8 or more. The pigeonhole search on
+# 1,024 bits can't reach these (155 bits differ on average), so candidates come from prefixes instead: in any one order of all
+# shingles, sets of sizes n with that similarity share one of the first n - ceil(0.8 n) + 1 of each. That is complete, and
+# candidates are verified on the whole sets. The order only decides how many candidates there are: common shingles are last.
 
+STAGE_WORDS = 5
+#: The similarity as a fraction, so that it is compared in whole numbers.
+SIMILAR = (4, 5)
+#: Common shingles are told by counts of hash cells over every COMMON_STEP-th document.
+COMMON_CELLS, COMMON_STEP = 1 << 18, 8
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+
+def prefix_length(n: int) -> int:
+    return n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1
+
+
+def similar(shared: Column, n: Column, n2: Column) -> Column:
+    """Whether sets of n and n2 that share so many have the similarity; two empty sets have it."""
+    a, b = SIMILAR
+    return (a + b) * shared >= a * (n + n2)
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(46)).astype(np.int64)
+
+
+def common_cells(docs: DataFrame) -> np.ndarray:
+    """By cell, whether its shingles are in many documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = np.zeros(COMMON_CELLS, np.int64), 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found[np.unique(_cells(shingle_hashes(t, STAGE_WORDS)))] += 1
+                n += 1
+        cells = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(found[cells], n))], ["cell", "n"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_STEP)) == 0).select("text")
+    counts = written(part.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    n, total = counts.agg(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.sum(F.when(F.col("cell") >= 0, F.col("n")))).first()
+    least = max(20, (n or 0) / 100, 4 * (total or 0) / COMMON_CELLS)  # so at most a quarter of the cells
+    out = np.zeros(COMMON_CELLS, bool)
+    out[[r["cell"] for r in counts.where((F.col("cell") >= 0) & (F.col("n") >= least)).collect()]] = True
+    dropped(counts)
+    return out
+
+
+def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """fid, n (distinct shingles), prefix; a text without words has n = 0 and the prefix 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, heads = [], []
+            for t in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, STAGE_WORDS))
+                h = h[np.argsort(common[_cells(h)], kind="stable")]
+                sizes.append(len(h))
+                heads.append(h[: prefix_length(len(h))] if len(h) else np.zeros(1, np.uint64))
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            values = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["fid", "n", "prefix"])
+
+    return docs.select("fid", "text").mapInArrow(run, "fid long, n int, prefix array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b of the candidates (a, b) whose shingle sets have the similarity; only the texts of candidates are read again."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, STAGE_WORDS)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fid", "set"])
+
+    pairs = written(pairs, "candidates")
+    total = pairs.count()
+    wanted = pairs.select(F.col("a").alias("fid")).union(pairs.select(F.col("b").alias("fid"))).distinct()
+    own = docs.select("fid", "text").join(wanted, "fid", "left_semi").mapInArrow(sets, "fid long, set array<long>")
+    own = written(own.groupBy("fid").agg(F.first("set").alias("set")), "sets")
+    out = pairs
+    for end in ("a", "b"):
+        groups = own.select(F.col("fid").alias(end), F.col("set").alias(f"{end}_set")).join(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("met")), end)
+        out = join_groups(out, groups, [end], "met", total).drop("met")
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    out = written(out.where(similar(shared, F.size("a_set"), F.size("b_set"))).select("a", "b"), "verified")
+    dropped(pairs, own)
+    return out
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """node, root of the texts (fid, text; rows may repeat) that have a link: shingle sets with the similarity. As in
+    near_components, pairs with the leader of a value come first, then those of sets that these haven't united."""
+    heads = written(prefixes(docs, common_cells(docs)).groupBy("fid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+    members = heads.select("fid", "n", F.posexplode("prefix").alias("at", "value"))
+    shared = members.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    members = written(members.join(shared, "value"), "members")
+    dropped(heads)
+    own = ["fid", "n", "at"]
+    # at most so many are shared: those up to the value, and what the shorter rest has
+    most = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
+    may = similar(most, F.col("n"), F.col("n2"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough of their prefixes: of the one whose prefix ends first, only the rest can be shared too. A
+        similar pair passes `may` at every value that it shares, so its count is whole where all of them are met."""
+        met = pairs.groupBy(F.least("fid", "fid2").alias("a"), F.greatest("fid", "fid2").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max(F.greatest("n", "n2")).alias("n"), F.max(F.least("n", "n2")).alias("n2"))
+        rest = F.expr(f"({SIMILAR[0]} * n + {SIMILAR[1] - 1}) div {SIMILAR[1]} - 1")  # n less prefix_length(n)
+        return met.where(similar(F.col("met") + rest, F.col("n"), F.col("n2"))).select("a", "b")
+
+    lead = members.groupBy("value").agg(F.max_by(F.struct(*own), F.xxhash64("fid")).alias("lead")).select("value", *(F.col(f"lead.{c}").alias(f"{c}2") for c in own))
+    star = verified(ends(members.join(lead, "value").where((F.col("fid") != F.col("fid2")) & may)), docs)
+    united = connected_components(star)
+    placed = members.join(united.withColumnRenamed("node", "fid"), "fid", "left")
+    members_in = written(placed.select("value", *own, F.coalesce("root", "fid").alias("set")), "members-in")
+    dropped(members)
+    largest = members_in.groupBy("value", "set").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max_by("set", F.struct("n", "set")).alias("largest"), F.count(F.lit(1)).alias("sets"))
+    valued = written(members_in.join(largest.where("sets > 1").drop("sets"), "value"), "valued")
+    dropped(members_in)
+    met = valued.select("value", *(F.col(c).alias(f"{c}2") for c in own), F.col("set").alias("set2"))
+    once = (F.col("set2") == F.col("largest")) | (F.col("fid") < F.col("fid2"))  # each pair once a value
+    found = verified(ends(valued.where(F.col("set") != F.col("largest")).join(met, "value").where((F.col("set") != F.col("set2")) & once & may)), docs)
+    dropped(valued)
+    return connected_components(star.union(found))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents of docs, all columns, without those that are near an earlier one: of a component the row with its
-    smallest doc_id stays. Rows without a doc_id stay, and so do rows that repeat the doc_id that stays with the same text
-    once."""
-    found = near_duplicates(docs, text=text, **(STAGE | how)).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    smallest doc_id stays, one if several have it. Rows without a doc_id stay. Equal texts are told by a 64-bit hash."""
+    fid = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fid.alias("fid"), F.col(text).alias("text"))
+    rows = written(sent.groupBy("doc_id", "fid").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    roots = similar_components(sent.select("doc_id", "fid", "text")).withColumnRenamed("node", "fid")
+    rooted = rows.where("doc_id IS NOT NULL").join(roots, "fid", "left").withColumn("root", F.coalesce("root", "fid"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "fid", "rows")).alias("x")).select(F.col("x.doc_id").alias("stay_id"), F.col("x.fid").alias("stay_fid"), F.col("x.rows").alias("stay_rows"))
+    stays = written(stays, "stays")
+    here = (F.col("doc_id").cast("long") == F.col("stay_id")) & (fid == F.col("stay_fid"))
+    once = docs.join(stays.where("stay_rows = 1"), here, "left_semi")
+    if stays.where("stay_rows > 1").limit(1).count():
+        once = once.unionByName(docs.join(stays.where("stay_rows > 1"), here, "left_semi").dropDuplicates(["doc_id", text]))
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))

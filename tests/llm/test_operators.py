@@ -369,6 +369,49 @@ def test_stage_drops_near_duplicates(spark):
     assert sorted(r.doc_id for r in got) == list(range(20))
 
 
+def brute_stage(rows):
+    """doc_ids that stay: of texts linked by a Jaccard similarity of 0.8 of their five-word shingles the smallest."""
+    sets = []
+    for r in rows:
+        w = (r[1] or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted(least.values())
+
+
+def test_stage_finds_every_pair_of_the_similarity(spark, none):
+    rng = random.Random(21)
+    made = lambda n: [("".join(rng.choices("abcdefgh", k=5))) for _ in range(n)]
+    passage, rows = made(60), []
+    for i in range(60):  # similarities from about 0.6 to 0.95, around 0.8 above all
+        w = made(rng.choice([8, 9, 30, 100, 300]))
+        w += passage if i % 2 else []
+        rows.append((i, " ".join(w), "en", "s", None, None))
+        cut = rng.choice([0.02, 0.08, 0.1, 0.11, 0.12, 0.2, 0.25])
+        rows.append((1000 + i, " ".join(w[: len(w) - max(1, int(len(w) * cut))] + made(rng.choice([0, int(len(w) * cut)]))), "en", "s", None, None))
+    rows += [(3000, None, None, None, None, None), (3001, "", None, None, None, None), (3002, "one", None, None, None, None), (3003, " ONE\n", None, None, None, None)]
+    rows += [rows[0], rows[0], (7, "other words than seven has", None, None, None, None)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame([*rows, (None, rows[0][1], None, None, None, None)], DOCS)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == brute_stage(rows)
+    assert sum(r.doc_id is None for r in got) == 1
+    assert simhash.drop_near_duplicates(none).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(13)
     links = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(200)] + [(rng.randint(5000, 5200), rng.randint(5000, 5200)) for _ in range(90)] + [(7, 7)]
