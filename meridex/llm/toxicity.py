@@ -1,14 +1,18 @@
 """Toxicity: a linear classifier of character n-grams, scaled by naive Bayes log-count ratios.
 
-Training (on the driver) uses a bounded sample of the labelled rows: at most MAX_ROWS rows and MAX_CHARS characters, in
-the order of a hash of doc_id, so that the sample is the same wherever the rows lie. A feature is a hashed character
-n-gram (a space at either end of a word belongs to it), its value is whether the text has it, times the log ratio of
-the n-gram's smoothed document rates under both labels. Logistic regression with an L2 penalty weighs the scaled
-features. Scoring streams whole texts through the executors.
+Training uses a bounded sample of the labelled rows: at most MAX_ROWS rows and MAX_CHARS characters, in the order of a
+hash of doc_id, so that the sample is the same wherever the rows lie; a text that doesn't fit any more is passed over. A
+feature is a hashed character n-gram (a space at either end of a word belongs to it), its value is whether the text has
+it, times the log ratio of the n-gram's smoothed document rates under both labels. Logistic regression with an L2
+penalty weighs the scaled features. The n-grams are hashed where the texts lie; one executor task fits the (bounded)
+sample from their ids and gives the weights that aren't 0, which alone reach the driver. Scoring streams whole texts
+through the executors.
 
 Defined cases: a null text counts as empty and gets the score of no features; rows without a label aren't trained on;
-a null label is none; if only one label occurs, every score is that label's smoothed rate; an empty table gives an
-empty result; columns other than doc_id, text and toxic are ignored.
+a null label is none; if only one label occurs, every score is that label's smoothed rate; with no labelled row at all
+every score is 0, so that nothing is rejected; rows that repeat doc_id and text are learned from once; an empty table
+gives an empty result; columns other than doc_id, text and toxic are passed through by score and drop_toxic, whatever
+their names, but for one with the name of the score, which score replaces.
 """
 
 from __future__ import annotations
@@ -61,107 +65,134 @@ def feature_ids(codes: np.ndarray, ngrams: tuple[int, ...] = NGRAMS, bits: int =
 
 @dataclass
 class Model:
-    weight: np.ndarray  # by hashed n-gram, 0 for most
+    """Weights by hashed n-gram, those that aren't 0 (ids ascending)."""
+
+    ids: np.ndarray
+    weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None) -> float:
-        ids = feature_ids(_codes(text))
-        hits = ids[self.weight[ids] != 0]
-        z = self.bias + float(self.weight[np.unique(hits)].sum())
-        return 1 / (1 + np.exp(-min(max(z, -40), 40)))
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.ids] = self.weights
+        return out
 
 
-def fit(texts: list[str | None], labels: list[int], l2: float = 1.0, steps: int = 300) -> Model:
-    y = np.asarray(labels, np.float64)
-    size = 1 << BITS
-    weight = np.zeros(size, np.float32)
-    rate = (y.sum() + 1) / (len(y) + 2)
+def score_of(text: str | None, weight: np.ndarray, bias: float) -> float:
+    ids = feature_ids(_codes(text))
+    hits = ids[weight[ids] != 0]
+    z = bias + float(weight[np.unique(hits)].sum())
+    return 1 / (1 + np.exp(-min(max(z, -40), 40)))
+
+
+def unlearned(labels: np.ndarray) -> Model:
+    """The model of labels alone: their smoothed rate, or 0 where there are none."""
+    rate = (labels.sum() + 1) / (len(labels) + 2)
+    return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))) if len(labels) else -40.0)
+
+
+def fit(rows: list[np.ndarray], labels: list[int], l2: float = 1.0, steps: int = 300) -> Model:
+    """rows: the distinct feature ids of each text."""
+    y = np.asarray(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
-        return Model(weight, float(np.log(rate / (1 - rate))))
-    with_it = [np.zeros(size), np.zeros(size)]
-    rows = []
-    for t, label in zip(texts, labels, strict=True):
-        ids = np.unique(feature_ids(_codes(t)))
+        return unlearned(y)
+    size = 1 << BITS
+    with_it = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
+    for ids, label in zip(rows, labels, strict=True):
         with_it[label][ids] += 1
-        rows.append(ids)
-    pos, neg = (with_it[1] + 0.5) / (y.sum() + 1), (with_it[0] + 0.5) / (len(y) - y.sum() + 1)
-    ratio = np.log(pos / neg)
+    ratio = np.log((with_it[1] + 0.5) / (y.sum() + 1) / ((with_it[0] + 0.5) / (len(y) - y.sum() + 1))).astype(np.float32)
     ratio[(np.abs(ratio) < MIN_RATIO) | (with_it[0] + with_it[1] < MIN_TEXTS)] = 0
     used = np.flatnonzero(ratio)
     if not len(used):
-        return Model(weight, float(np.log(rate / (1 - rate))))
-    place = np.full(size, -1, np.int64)
-    place[used] = np.arange(len(used))
-    kept = [place[ids] for ids in rows]
-    kept = [k[k >= 0] for k in kept]
-    lengths = np.array([len(k) for k in kept])
-    column, row = np.concatenate(kept), np.repeat(np.arange(len(y)), lengths)
+        return unlearned(y)
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    kept = []
+    for i, ids in enumerate(rows):
+        k = place[ids]
+        kept.append(k[k >= 0])
+        rows[i] = ids[:0]  # not needed any more
+    column, row = np.concatenate(kept), np.repeat(np.arange(len(y), dtype=np.int32), [len(k) for k in kept])
+    del kept
     r = ratio[used]
     value = r[column]
     # Adam on the scaled features
+    rate = (y.sum() + 1) / (len(y) + 2)
     w, b = np.zeros(len(used)), float(np.log(rate / (1 - rate)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[column] * value, minlength=len(y)) + b
+        z = np.bincount(row, weights=w.astype(np.float32)[column] * value, minlength=len(y)) + b
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(column, weights=e[row] * value, minlength=len(used)) + l2 * w, e.sum()) / len(y)
+        g = np.append(np.bincount(column, weights=e.astype(np.float32)[row] * value, minlength=len(used)) + l2 * w, e.sum()) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w -= step[:-1]
         b -= step[-1]
     w *= r
-    w[np.abs(w) < 1e-3] = 0
-    weight[used] = w
-    return Model(weight, float(b))
+    big = np.abs(w) >= 1e-3
+    return Model(used[big].astype(np.int32), w[big].astype(np.float32), float(b))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list, list]:
-    """At most max_rows texts, of at most max_chars characters together, with their labels."""
-    marks = labels.where(F.col(label).isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    order = F.xxhash64(F.col("doc_id").cast("long"))
+def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """doc_id, text, label of the sample: at most max_rows texts, of at most max_chars characters together. Only ids and
+    lengths of as many candidates reach the driver."""
+    marks = labels.where(F.col(label).isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    order = F.xxhash64("doc_id")
     chosen = marks.where(F.col("doc_id").isNotNull()).orderBy(order, "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
-    # of rows that repeat a doc_id, as many as there are, until the characters are used up
-    texts, got, chars = [], [], 0
-    sized = rows.select("doc_id", F.char_length("text").cast("long").alias("n"), order.alias("o")).orderBy("o", "n").limit(max_rows).collect()
-    ids = []
-    for r in sized:
-        if chars + r["n"] > max_chars:
-            break
-        chars += r["n"]
-        ids.append((r["doc_id"],))
-    if not ids:
-        return [], []
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(ids)), "doc_id long"))
-    for r in rows.join(wanted, "doc_id", "left_semi").orderBy("doc_id", "text").limit(max_rows).toLocalIterator():
-        texts.append(r["text"])
-        got.append(int(r["label"] > 0))
-    return texts, got
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("text"))  # max_rows rows at most
+    sized = rows.groupBy("doc_id", "h").agg(F.max(F.char_length("text").cast("long")).alias("n")).orderBy(order, "doc_id", "n", "h").limit(max_rows)
+    taken, chars = [], 0
+    for r in sized.collect():
+        if chars + r["n"] <= max_chars:
+            chars += r["n"]
+            taken.append((r["doc_id"], r["h"]))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, h long"))
+    return rows.join(wanted, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("label").alias("label")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
-    return fit(*training_sample(docs, labels, **how))
-
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.unique(feature_ids(_codes(t))).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x > 0) for x in batch.column(2).to_pylist()], pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "label", "ids"])
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of docs, and toxicity (double, 0 to 1)."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))  # 4 MB, whatever the input
-    docs = docs.drop("toxicity")
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, marks = [], []
+        for batch in batches:
+            marks += batch.column(1).to_pylist()
+            rows += [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+        model = fit(rows, marks)
+        one = [pa.array([model.ids.astype("<i4").tobytes()], pa.binary()), pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())]
+        yield pa.RecordBatch.from_arrays(one, ["ids", "weights", "bias"])
+
+    rows = training_rows(docs, labels, **how).mapInArrow(hashed, "doc_id long, label int, ids binary")
+    # the sample is bounded, so that one task can hold it; its order doesn't change with the partitions
+    models = rows.repartition(1).sortWithinPartitions("doc_id", "ids").mapInArrow(fitted, "ids binary, weights binary, bias double").collect()
+    if not models:
+        return unlearned(np.zeros(0))
+    return Model(np.frombuffer(models[0]["ids"], "<i4"), np.frombuffer(models[0]["weights"], "<f4"), models[0]["bias"])
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """All columns of docs, and the score (double, 0 to 1) as name; a column of that name is replaced."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.ids, model.weights, model.bias))  # 8 MB at most, whatever the input
+    docs = docs.drop(name)
     fields = docs.columns
     at = fields.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
+        weight = own.dense()
         for batch in batches:
-            got = pa.array([own.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*fields, "toxicity"])
+            got = pa.array([score_of(t, weight, own.bias) for t in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*fields, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The documents of docs, all columns, that score below the threshold."""
-    return score(docs, train(docs, labels, text=text), text).where(F.col("toxicity") < threshold).select(*docs.columns)
+    """The documents of docs, all columns, that score below the threshold; all of them where no row is labelled."""
+    return score(docs, train(docs, labels, text=text), text, "__toxicity").where(F.col("__toxicity") < threshold).select(*docs.columns)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -285,7 +285,17 @@ def test_toxicity(spark, none):
     assert np.mean([r.predicted == known[r.doc_id] for r in held if r.doc_id in known]) > 0.97
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert toxicity.toxicity_report(none, marks).count() == 0
-    assert toxicity.toxicity_report(spark.createDataFrame(rows, DOCS), spark.createDataFrame([], schema)).count() == len(rows)
+    # nothing to learn from: no document is rejected
+    unmarked = spark.createDataFrame([], schema)
+    assert all(r.score < 0.01 and not r.predicted for r in toxicity.toxicity_report(spark.createDataFrame(rows, DOCS), unmarked).collect())
+    assert toxicity.drop_toxic(spark.createDataFrame(rows, DOCS), unmarked).count() == len(rows)
+    # one text that exceeds the bound of the sample doesn't stand in the way of the others; a column of the score's name stays
+    long = spark.createDataFrame([(r[0], "x " * 4000, *r[2:]) if r[0] == 7 else r for r in rows], DOCS)
+    few = toxicity.training_rows(long, marks, max_chars=200_000)
+    assert few.count() > 400
+    assert toxicity.training_rows(long, marks, max_chars=3000).where("length(text) > 3000").count() == 0
+    kept = toxicity.drop_toxic(long.withColumnRenamed("fp", "toxicity"), marks)
+    assert "toxicity" in kept.columns and 700 <= kept.count() <= 760
 
 
 def brute_simhash(text):
