@@ -281,15 +281,45 @@ def near_duplicates(
 
 
 # The pipeline's near-duplicates: five-word shingle sets with a Jaccard similarity of 0.8 or more. The pigeonhole search on
-# 1,024 bits can't reach these (155 bits differ on average), so candidates come from prefixes instead: in any one order of all
-# shingles, sets of sizes n with that similarity share one of the first n - ceil(0.8 n) + 1 of each. That is complete, and
-# candidates are verified on the whole sets. The order only decides how many candidates there are: common shingles are last.
+# 1,024 bits can't reach these (155 bits differ on average, and any radius loses some links), so candidates come from prefixes
+# instead: in any one order of all shingles, sets of sizes n with that similarity share one of the first n - ceil(0.8 n) + 1 of
+# each. That is complete, and candidates are verified on the whole sets. The order only decides how many candidates there are:
+# shingles that many documents have are last. Each set also has a bitmap, of which a bit is one if an odd number of its
+# shingles fall on it: sets differ in at least as many shingles as their bitmaps do in bits, so that most pairs that are not
+# similar never leave the join.
 
 STAGE_WORDS = 5
 #: The similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
-#: Common shingles are told by counts of hash cells over every COMMON_STEP-th document.
-COMMON_CELLS, COMMON_STEP = 1 << 18, 8
+#: The cells that shingles are counted in, and of one block of them.
+CELL_BITS, BLOCK_CELL_BITS = 22, 16
+#: A cell is common from so many documents on, and from so many times the mean of all cells on.
+COMMON_DOCS, COMMON_TIMES = 16, 4
+PARITY_WORDS = 8
+WORD_CACHE = 500_000
+
+
+def stage_shingles(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of STAGE_WORDS words, ascending; the whole sequence where there are fewer."""
+    import xxhash
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    if not found:
+        return np.zeros(0, np.uint64)
+    if len(cache) > WORD_CACHE:
+        cache.clear()
+    got = list(map(cache.get, found))
+    if None in got:
+        for i, h in enumerate(got):
+            if h is None:
+                got[i] = cache[found[i]] = xxhash.xxh64_intdigest(found[i], SEED)
+    w = np.array(got, np.uint64)
+    k = min(STAGE_WORDS, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for i in range(k):
+        h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
 
 
 def prefix_length(n: int) -> int:
@@ -303,62 +333,91 @@ def similar(shared: Column, n: Column, n2: Column) -> Column:
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def common_cells(docs: DataFrame) -> np.ndarray:
-    """By cell, whether its shingles are in many documents."""
+def cell_ranks(docs: DataFrame) -> np.ndarray:
+    """By cell, 0 where few of all documents have shingles, else a rank that grows with their number. Every task sums up
+    its own documents in one array, and sends it in blocks; what reaches the driver are a byte a cell."""
+    blocks = 1 << (CELL_BITS - BLOCK_CELL_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = np.zeros(COMMON_CELLS, np.int64), 0
+        cache: dict[bytes, int] = {}
+        found = np.zeros((blocks, 1 << BLOCK_CELL_BITS), "<u4")
+        flat = found.reshape(-1)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                found[np.unique(_cells(shingle_hashes(t, STAGE_WORDS)))] += 1
-                n += 1
-        cells = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(found[cells], n))], ["cell", "n"])
-
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_STEP)) == 0).select("text")
-    counts = written(part.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    n, total = counts.agg(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.sum(F.when(F.col("cell") >= 0, F.col("n")))).first()
-    least = max(20, (n or 0) / 100, 4 * (total or 0) / COMMON_CELLS)  # so at most a quarter of the cells
-    out = np.zeros(COMMON_CELLS, bool)
-    out[[r["cell"] for r in counts.where((F.col("cell") >= 0) & (F.col("n") >= least)).collect()]] = True
-    dropped(counts)
-    return out
+                flat[np.unique(_cells(stage_shingles(t, cache)))] += 1
+        used = [b for b in range(blocks) if found[b].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([found[b].tobytes() for b in used], pa.binary())], ["block", "counts"])
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(raw, "<u4")
+                total[b] = total[b] + own if b in total else own.astype(np.int64)
+        for b, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([int(sums.sum())]), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["block", "n", "sums"])
 
-def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """fid, n (distinct shingles), prefix; a text without words has n = 0 and the prefix 0."""
+    parts = docs.select("text").mapInArrow(count, "block int, counts binary")
+    sums = written(parts.repartition(min(blocks, 64), "block").mapInArrow(added, "block int, n long, sums binary"), "cells")
+    least = max(COMMON_DOCS, COMMON_TIMES * (sums.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = [np.clip(np.log2(np.maximum(np.frombuffer(x, "<i8"), 1) / least) * 2 + 1, 0, 255).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rank, pa.binary())], ["block", "ranks"])
+
+    out = np.zeros((blocks, 1 << BLOCK_CELL_BITS), np.uint8)
+    for r in sums.select("block", "sums").mapInArrow(ranked, "block int, ranks binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["ranks"], np.uint8)
+    dropped(sums)
+    return out.reshape(-1)
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    bits = np.bincount((h & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """fid, n (distinct shingles), prefix, bits (the bitmap); a text without words has n = 0 and the prefix 0."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a byte a cell, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        rank = sent.value
         for batch in batches:
-            sizes, heads = [], []
+            sizes, heads, bits = [], [], []
             for t in batch.column(1).to_pylist():
-                h = np.unique(shingle_hashes(t, STAGE_WORDS))
-                h = h[np.argsort(common[_cells(h)], kind="stable")]
+                h = stage_shingles(t, cache)
                 sizes.append(len(h))
+                bits.append(parity(h))
+                h = h[np.argsort(rank[_cells(h)], kind="stable")]
                 heads.append(h[: prefix_length(len(h))] if len(h) else np.zeros(1, np.uint64))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             values = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["fid", "n", "prefix"])
+            words = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), PARITY_WORDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), words], ["fid", "n", "prefix", "bits"])
 
-    return docs.select("fid", "text").mapInArrow(run, "fid long, n int, prefix array<long>")
+    return docs.select("fid", "text").mapInArrow(run, "fid long, n int, prefix array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b of the candidates (a, b) whose shingle sets have the similarity; only the texts of candidates are read again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, STAGE_WORDS)).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [stage_shingles(t, cache).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fid", "set"])
 
     pairs = written(pairs, "candidates")
     total = pairs.count()
     wanted = pairs.select(F.col("a").alias("fid")).union(pairs.select(F.col("b").alias("fid"))).distinct()
-    own = docs.select("fid", "text").join(wanted, "fid", "left_semi").mapInArrow(sets, "fid long, set array<long>")
-    own = written(own.groupBy("fid").agg(F.first("set").alias("set")), "sets")
+    own = docs.select("fid", "text").join(wanted, "fid", "left_semi").groupBy("fid").agg(F.first("text").alias("text")).mapInArrow(sets, "fid long, set array<long>")
+    own = written(own, "sets")
     out = pairs
     for end in ("a", "b"):
         groups = own.select(F.col("fid").alias(end), F.col("set").alias(f"{end}_set")).join(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("met")), end)
@@ -370,27 +429,30 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """node, root of the texts (fid, text; rows may repeat) that have a link: shingle sets with the similarity. As in
-    near_components, pairs with the leader of a value come first, then those of sets that these haven't united."""
-    heads = written(prefixes(docs, common_cells(docs)).groupBy("fid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+    """node, root of the texts (fid, text; rows may repeat) that have a link: shingle sets with the similarity.
+
+    A similar pair passes `may` at the first value that its prefixes share: no more than what follows there, in the shorter
+    rest, can be shared. First each member of a value meets one leader (by a hash of both, so that a document meets others
+    at other values), which is linear and unites all but few; then pairs of sets that these haven't united are met.
+    """
+    heads = written(prefixes(docs, cell_ranks(docs)).groupBy("fid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes")
     members = heads.select("fid", "n", F.posexplode("prefix").alias("at", "value"))
     shared = members.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    members = written(members.join(shared, "value"), "members")
-    dropped(heads)
-    own = ["fid", "n", "at"]
-    # at most so many are shared: those up to the value, and what the shorter rest has
-    most = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
-    may = similar(most, F.col("n"), F.col("n2"))
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        """Pairs that share enough of their prefixes: of the one whose prefix ends first, only the rest can be shared too. A
-        similar pair passes `may` at every value that it shares, so its count is whole where all of them are met."""
-        met = pairs.groupBy(F.least("fid", "fid2").alias("a"), F.greatest("fid", "fid2").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max(F.greatest("n", "n2")).alias("n"), F.max(F.least("n", "n2")).alias("n2"))
-        rest = F.expr(f"({SIMILAR[0]} * n + {SIMILAR[1] - 1}) div {SIMILAR[1]} - 1")  # n less prefix_length(n)
-        return met.where(similar(F.col("met") + rest, F.col("n"), F.col("n2"))).select("a", "b")
-
-    lead = members.groupBy("value").agg(F.max_by(F.struct(*own), F.xxhash64("fid")).alias("lead")).select("value", *(F.col(f"lead.{c}").alias(f"{c}2") for c in own))
-    star = verified(ends(members.join(lead, "value").where((F.col("fid") != F.col("fid2")) & may)), docs)
+    bits = [f"b{i}" for i in range(PARITY_WORDS)]
+    narrow = written(members.join(shared, "value"), "narrow-members")
+    members = written(narrow.join(heads.select("fid", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "fid"), "members")
+    dropped(heads, narrow)
+    own = ["fid", "n", "at", *bits]
+    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("b02")))
+    for b in bits[1:]:
+        differ = differ + F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2")))
+    a, b = SIMILAR  # shared >= a / (a + b) * (n + n2), and shared <= (n + n2 - differ) / 2
+    few = (a + b) * differ <= (b - a) * (F.col("n") + F.col("n2"))
+    may = few & similar(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")), F.col("n"), F.col("n2"))
+    pair = [F.least("fid", "fid2").alias("a"), F.greatest("fid", "fid2").alias("b")]
+
+    lead = members.groupBy("value").agg(F.max_by(F.struct(*own), F.xxhash64("fid", "value")).alias("lead")).select("value", *(F.col(f"lead.{c}").alias(f"{c}2") for c in own))
+    star = verified(members.join(lead, "value").where((F.col("fid") != F.col("fid2")) & few).select(*pair).distinct(), docs)
     united = connected_components(star)
     placed = members.join(united.withColumnRenamed("node", "fid"), "fid", "left")
     members_in = written(placed.select("value", *own, F.coalesce("root", "fid").alias("set")), "members-in")
@@ -400,23 +462,24 @@ def similar_components(docs: DataFrame) -> DataFrame:
     dropped(members_in)
     met = valued.select("value", *(F.col(c).alias(f"{c}2") for c in own), F.col("set").alias("set2"))
     once = (F.col("set2") == F.col("largest")) | (F.col("fid") < F.col("fid2"))  # each pair once a value
-    found = verified(ends(valued.where(F.col("set") != F.col("largest")).join(met, "value").where((F.col("set") != F.col("set2")) & once & may)), docs)
+    found = verified(valued.where(F.col("set") != F.col("largest")).join(met, "value").where((F.col("set") != F.col("set2")) & once & may).select(*pair).distinct(), docs)
     dropped(valued)
     return connected_components(star.union(found))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents of docs, all columns, without those that are near an earlier one: of a component the row with its
-    smallest doc_id stays, one if several have it. Rows without a doc_id stay. Equal texts are told by a 64-bit hash."""
+    """The documents of docs, all columns, without those that are near another that stays: of a component one row stays,
+    of its smallest doc_id (a null one comes last), then of the smallest text hash. Rows that repeat both doc_id and text
+    are one document. Equal texts are told by a 64-bit hash."""
     fid = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fid.alias("fid"), F.col(text).alias("text"))
     rows = written(sent.groupBy("doc_id", "fid").agg(F.count(F.lit(1)).alias("rows")), "rows")
-    roots = similar_components(sent.select("doc_id", "fid", "text")).withColumnRenamed("node", "fid")
-    rooted = rows.where("doc_id IS NOT NULL").join(roots, "fid", "left").withColumn("root", F.coalesce("root", "fid"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "fid", "rows")).alias("x")).select(F.col("x.doc_id").alias("stay_id"), F.col("x.fid").alias("stay_fid"), F.col("x.rows").alias("stay_rows"))
+    roots = similar_components(sent.select("fid", "text")).withColumnRenamed("node", "fid")
+    rooted = rows.join(roots, "fid", "left").withColumn("root", F.coalesce("root", "fid"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fid", "rows")).alias("x")).select(F.col("x.doc_id").alias("stay_id"), F.col("x.fid").alias("stay_fid"), F.col("x.rows").alias("stay_rows"))
     stays = written(stays, "stays")
-    here = (F.col("doc_id").cast("long") == F.col("stay_id")) & (fid == F.col("stay_fid"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (fid == F.col("stay_fid"))
     once = docs.join(stays.where("stay_rows = 1"), here, "left_semi")
     if stays.where("stay_rows > 1").limit(1).count():
         once = once.unionByName(docs.join(stays.where("stay_rows > 1"), here, "left_semi").dropDuplicates(["doc_id", text]))
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    return once

@@ -380,7 +380,7 @@ def test_stage_drops_near_duplicates(spark):
 
 
 def brute_stage(rows):
-    """doc_ids that stay: of texts linked by a Jaccard similarity of 0.8 of their five-word shingles the smallest."""
+    """doc_ids that stay: of texts linked by a Jaccard similarity of 0.8 of their five-word shingles the smallest, null last."""
     sets = []
     for r in rows:
         w = (r[1] or "").encode().lower().split()
@@ -399,9 +399,8 @@ def brute_stage(rows):
                 root[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
-        if r[0] is not None:
-            least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return sorted(least.values())
+        least.setdefault(find(i), []).append((r[0] is None, r[0] or 0))
+    return sorted(min(x) for x in least.values())
 
 
 def test_stage_finds_every_pair_of_the_similarity(spark, none):
@@ -416,9 +415,15 @@ def test_stage_finds_every_pair_of_the_similarity(spark, none):
         rows.append((1000 + i, " ".join(w[: len(w) - max(1, int(len(w) * cut))] + made(rng.choice([0, int(len(w) * cut)]))), "en", "s", None, None))
     rows += [(3000, None, None, None, None, None), (3001, "", None, None, None, None), (3002, "one", None, None, None, None), (3003, " ONE\n", None, None, None, None)]
     rows += [rows[0], rows[0], (7, "other words than seven has", None, None, None, None)]
-    got = simhash.drop_near_duplicates(spark.createDataFrame([*rows, (None, rows[0][1], None, None, None, None)], DOCS)).collect()
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == brute_stage(rows)
-    assert sum(r.doc_id is None for r in got) == 1
+    rows += [(None, rows[0][1], None, None, None, None), (None, "nobody else has these words here", None, None, None, None), (1, rows[2][1], "en", "s", None, None)]
+    core = made(200)
+    for i in range(150):  # near copies, most of them not similar to each other
+        w = list(core)
+        for k in rng.sample(range(200), 5):
+            w[k] = "".join(rng.choices("xyz", k=6))
+        rows.append((5000 + i, " ".join(w), "en", "s", None, None))
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == brute_stage(rows)
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
