@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,14 @@ def shingles(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(df: DataFrame, text: str, n: int, *keep: str) -> DataFrame:
+    """keep, and the 64-bit hashes (hs) of all runs of n words, each once. The words are a column of their own before the
+    lambda, which would otherwise split the text again for every run."""
+    split = df.select(*keep, words(F.col(text)).alias("__words"))
+    own = F.when(F.size("__words") >= n, F.transform(F.sequence(F.lit(1), F.size("__words") - n + 1), lambda i: F.xxhash64(F.slice("__words", i, n))))
+    return split.select(*keep, F.array_distinct(F.coalesce(own, F.array().cast("array<long>"))).alias("hs"))
+
+
 def plain_html(html: Column, limit: int = 1000) -> Column:
     """Tags taken out, white space made single, at most limit characters."""
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", ""), r"[ \t\n\r]+", " ")), 1, limit)

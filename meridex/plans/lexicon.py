@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit, backfill, graph, grounding, votes
+from ..operators import audit, backfill, copies, graph, grounding, vectors, votes
 from .registry import query
 
 
@@ -55,8 +55,7 @@ FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'),
 @query("copy_detection", f"SELECT doc_id, item_id, count(DISTINCT s) AS runs FROM ({SHINGLES.format(id='doc_id', table='documents')}) JOIN ({SHINGLES.format(id='item_id', table='benchmark')}) USING (s) GROUP BY doc_id, item_id")
 def copy_detection(spark, sf_dir):
     """Documents that hold runs of eight words of benchmark items."""
-    runs = lambda df, k: df.select(k, F.explode(F.array_distinct(X.shingles(X.words(F.col("text")), 8))).alias("s"))
-    return runs(t(spark, sf_dir, "documents"), "doc_id").join(runs(t(spark, sf_dir, "benchmark"), "item_id"), "s").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("runs"))
+    return copies.shared_runs(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 @query(
@@ -121,11 +120,11 @@ def debate_stats(spark, sf_dir):
 
 @query(
     "redebate_arc",
-    f"""WITH l AS (SELECT * FROM ({LOG_SQL}) WHERE event_id % 17 = 0), f AS (SELECT term, min((ts, event_id)) AS a, min(ts) AS first_undecided FROM l WHERE outcome = 'undecided' GROUP BY term),
+    f"""WITH l AS (SELECT * FROM ({LOG_SQL})), f AS (SELECT term, min((ts, event_id)) AS a, min(ts) AS first_undecided FROM l WHERE outcome = 'undecided' GROUP BY term),
     g AS (SELECT term, max((ts, event_id)) AS z FROM l WHERE outcome = 'accepted' GROUP BY term) SELECT term, first_undecided, coalesce(z > a, false) AS resolved FROM f LEFT JOIN g USING (term)""",
 )
 def redebate_arc(spark, sf_dir):
-    return audit.redebate_arc(audit_log(spark, sf_dir).where("event_id % 17 = 0"))
+    return audit.redebate_arc(audit_log(spark, sf_dir))
 
 
 PROPOSALS_SQL = "SELECT o_orderkey AS id, (o_orderkey * 7 % 101) / 10.0 AS confidence, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'rolled_back' END AS decision, o_custkey % 10 = 0 AS delegated FROM orders"
@@ -205,7 +204,7 @@ def subtree_depth(spark, sf_dir):
 @query("children_list", f"WITH n AS ({TREE_SQL}) SELECT n.label, coalesce(string_agg(c.label, ',' ORDER BY c.label), '') AS children FROM n LEFT JOIN n c ON c.parent = n.label GROUP BY n.label")
 def children_list(spark, sf_dir):
     nodes = tree(spark, sf_dir)
-    kids = nodes.groupBy(F.col("parent").alias("label")).agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("children"))
+    kids = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("label")).agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("children"))
     return nodes.select("label").join(kids, "label", "left").select("label", F.coalesce("children", F.lit("")).alias("children"))
 
 
@@ -302,17 +301,12 @@ def known_term_guard(spark, sf_dir):
 
 @query(
     "vector_shortlist",
-    "SELECT q, vec_id, rank FROM (SELECT a.vec_id AS q, b.vec_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id < 20) WHERE rank <= 5",
+    "SELECT q, vec_id, rank FROM (SELECT a.vec_id AS q, b.vec_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 20 = 0) WHERE rank <= 5",
 )
 def vector_shortlist(spark, sf_dir):
-    """The five nearest by cosine of another language (label) for 20 query vectors, which are broadcast: they are 20."""
-    vectors = t(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    vectors = vectors.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    asked = F.broadcast(vectors.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("label").alias("l"), F.col("v").alias("u"), F.col("norm").alias("m")))
-    scored = vectors.join(asked, F.col("label") != F.col("l")).select("q", "vec_id", F.round(dot(F.col("u"), F.col("v")) / F.col("m") / F.col("norm"), 6).alias("cosine"))
-    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("q", "vec_id", "rank")
+    """The five nearest by cosine of another language (label), for every vector whose id is divisible by 20."""
+    stored = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("language"), F.lit("m").alias("model"), "embedding")
+    return vectors.shortlist(stored.where("id % 20 = 0"), stored, 5).select(F.col("q"), F.col("id").alias("vec_id"), "rank")
 
 
 @query("vector_current", "SELECT vec_id, label % 2 = 0 AND vec_id % 3 <> 0 AS current FROM embeddings")

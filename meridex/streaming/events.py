@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -19,8 +20,7 @@ def deduplicated(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Dat
     repeated ids are dropped. All files are one batch: those of a folder needn't be in order of time, and rows behind the
     watermark of an earlier batch would be lost. The stream's state and its output are in the folder that
     spark.checkpoint.dir names."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='meridex-')}"
-    path = f"{root.rstrip('/')}/meridex/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/meridex/stream-{uuid.uuid4().hex}"
     table = f"{sf_dir}/events.parquet"
     reader = spark.readStream.schema(spark.read.parquet(table).schema)
     # a stream reads folders, and the filter is on the names of files: a single file is picked from its folder
