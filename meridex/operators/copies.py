@@ -25,12 +25,12 @@ def shared_runs(docs: DataFrame, items: DataFrame, doc: str, item: str, n: int =
 
 def folded(text: Column) -> Column:
     """Trimmed, white space single, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
 def bare_words(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def copied(pairs: DataFrame, own: str = "definition", other: str = "passage", n: int = RUN_WORDS) -> DataFrame:
