@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: A key counts as heavy from this share of all rows on; so there are at most HEAVY_SHARE heavy keys, whatever the input.
 HEAVY_SHARE = 1000
 
@@ -16,13 +17,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none (local runs)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='meridex-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores in front of it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -145,15 +145,17 @@ def test_mixing(spark, none):
     rows = [(i, words(rng, rng.randint(1, 30)), "en", s, None, None) for i, s in enumerate(["big"] * 3000 + ["mid"] * 300 + [None] * 30)]
     rows += [(9000, None, "en", "empty", None, None), (9001, "", None, "empty", None, None)]
     df = spark.createDataFrame(rows, DOCS)
+    tok = chunk_tokenizer(tokenizer_path()).tok
+    count = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
     tokens = defaultdict(int)
     for r in rows:
-        tokens[r[3]] += len((r[1] or "").split())
+        tokens[r[3]] += count(r[1])
     total = sum(tokens.values())
     for how in ({"max_repeats": 4.0}, {"target_entropy": 0.9}, {"max_repeats": 2.0, "budget": total // 2}):
         got = mixing.mix_sources(df, **how).collect()
         taken = defaultdict(int)
         for r in got:
-            taken[r.source] += len(r.text.split())
+            taken[r.source] += count(r.text)
         budget = how.get("budget", total)
         assert sum(taken.values()) <= budget and sum(taken.values()) >= budget - 200
         p = np.array([taken[s] / sum(taken.values()) for s in ("big", "mid", None)])
@@ -164,7 +166,48 @@ def test_mixing(spark, none):
             assert most <= how["max_repeats"] + 1e-6 and most > 0.9 * how["max_repeats"]
         each = Counter((r.doc_id, r.epoch) for r in got)
         assert max(each.values()) == 1
+        brute_mix(rows, got, tokens, count, how, budget)
+        # a pass is a permutation of its own
+        orders = [[r.doc_id for r in sorted(got, key=lambda r: r.place) if r.epoch == e and r.source is None] for e in (1, 2)]
+        assert orders[0] != sorted(orders[0])
+        if len(orders[1]) > 5:
+            assert [x for x in orders[0] if x in set(orders[1])] != orders[1]
     assert mixing.mix_sources(none).count() == 0
+    assert mixing.mix_sources(df, budget=0).count() == 0
+    for bad in ({"budget": 9 * total}, {"target_entropy": 1.2}, {"target_entropy": -0.1}, {"budget": -1}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(df, **bad)
+    clash = df.withColumnsRenamed({"fp": "block", "rank": "epoch", "lang": "mix_key"}).selectExpr("*", "source AS key", "1 AS rest")
+    got = mixing.mix_sources(clash)
+    assert sorted(got.columns) == sorted([*clash.columns, "place"]) and got.count() > 3000
+
+
+def brute_mix(rows, got, tokens, count, how, budget):
+    """The mixture told by plain loops: exponent, quotas, whole passes, and the last pass as far as the quota goes."""
+    total = sum(tokens.values())
+    shares = {s: n / total for s, n in tokens.items() if n}
+    weights = lambda a: {s: x**a / sum(y**a for y in shares.values()) for s, x in shares.items()}
+    if "target_entropy" in how:
+        good = lambda a: -sum(w * math.log(w) for w in weights(a).values()) <= how["target_entropy"]
+    else:
+        good = lambda a: max(w * budget / tokens[s] for s, w in weights(a).items()) <= how["max_repeats"] * (1 + 1e-9)
+    low, high = 0.0, 1.0 if "target_entropy" not in how else 8.0
+    if good(low):
+        high = low
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if good(mid) else (mid, high)
+    taken, passes = defaultdict(int), defaultdict(int)
+    for r in got:
+        taken[r.source] += count(r.text)
+        passes[r.source] = max(passes[r.source], r.epoch)
+    size = {s: max(count(r[1]) for r in rows if r[3] == s) for s in shares}
+    for s, w in weights(high).items():
+        assert abs(taken[s] - w * budget) <= size[s] + 1e-4 * budget
+        full = int(w * budget / tokens[s] - 1e-3)
+        assert full <= passes[s] <= full + 1
+        for e in range(1, full + 1):
+            assert sum(r.epoch == e and r.source == s for r in got) == sum(r[3] == s for r in rows)
 
 
 def test_warc(spark):
@@ -195,6 +238,28 @@ def test_warc(spark):
         got = warc.read_archives(spark, path, files, split).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
         assert Counter(map(tuple, got.collect())) == want
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
+    # record ids are unique, and revisits name that of their response
+    import gzip
+    from urllib.parse import urlparse
+
+    ids, refers = [], []
+    for name, _ in files:
+        for block in gzip.open(f"{urlparse(path).path}/{name}").read().split(b"WARC/1.1\r\nWARC-Type")[1:]:
+            head = block.partition(b"\r\n\r\n")[0].split(b"\r\n")
+            ids += [x.split(b": ")[1] for x in head if x.startswith(b"WARC-Record-ID: ")]
+            refers += [x.split(b": ")[1] for x in head if x.startswith(b"WARC-Refers-To: ")]
+    assert len(ids) == len(set(ids)) == len(rows) and set(refers) <= set(ids) and len(refers) == sum(n for k, n in want.items() if k[3] == "revisit")
+    # a record of another version, without a digest, behind bytes that aren't one
+    old = scratch_path(spark, "old-warc")
+    fs, root = warc.filesystem(old)
+    fs.create_dir(root, recursive=True)
+    body = gzip.compress(b"WARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n\r\n\r\n") + b"\x1f\x8b\x08noise" + gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: text/plain\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    with fs.open_output_stream(f"{root}/a.warc.gz", compression=None) as out:
+        out.write(body)
+    got = warc.read_archives(spark, old, [("a.warc.gz", len(body))], 16).collect()
+    assert sorted((r.record_type, r.payload, r.payload_digest is None) for r in got) == [("revisit", None, True), ("warcinfo", b"abc", False)]
+    with pytest.raises(ValueError):
+        warc.filesystem("/tmp/x")
 
 
 def brute_lines(rows, least):
@@ -237,6 +302,12 @@ def test_line_dedup(spark, none):
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], want[r[0], r[1]]) for r in rows)
     assert sum(r.lines_deleted > 0 for r in got) > 10
     assert line_dedup.dedup_lines(none).count() == 0
+    clash = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"fp": "gone", "rank": "lines_deleted", "lang": "gone_rid"})
+    again = line_dedup.dedup_lines(clash)
+    assert again.columns == ["doc_id", "text", "gone_rid", "source", "gone", "lines_deleted"] and Counter((r.doc_id, r.text) for r in again.collect()) == Counter((r.doc_id, r.text) for r in got)
+    kept = line_dedup.drop_repeated_lines(clash)
+    assert kept.columns == clash.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r[0], w) for r in rows for w in [want[r[0], r[1]]] if w == r[1] or w.replace("\n", "").strip(" "))
 
 
 def test_exact_dedup(spark, docs, none):
@@ -259,6 +330,9 @@ def test_exact_dedup(spark, docs, none):
     again = exact_dedup.exact_dedup(docs.where("doc_id >= 30 and doc_id < 60"), index).collect()
     firsts = {flat(r[1]) for r in rows if r[0] is not None and r[0] < 30}
     assert all(not r.kept for r in again if any(hashlib.sha256(f.encode()).hexdigest() == r.text_sha256 for f in firsts)) and any(r.keep_id < 30 for r in again)
+    # a batch that is given again gives the same again
+    last = Counter(map(tuple, again))
+    assert Counter(map(tuple, exact_dedup.exact_dedup(docs.where("doc_id >= 30 and doc_id < 60"), index).collect())) == last
     n = index.table().count()
     index.compact()
     assert index.table().count() == n == index.table().select("digest").distinct().count()
