@@ -7,7 +7,9 @@ of the attempt and then moved, so that a lost executor leaves nothing half writt
 
 Defined cases: a null html counts as empty; of equal payloads the largest page_id is the response and all others revisit
 it, rows without a page_id included (if none has one, one of them is the response); rows that repeat page_id and html are
-records of their own; an empty table gives an empty result; other columns are ignored.
+records of their own; an empty table gives an empty result; other columns are ignored. The reader takes records of any
+WARC version; of a foreign record, headers that it lacks are null, and other types than response and revisit are returned
+with their whole block as payload.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import join_groups, scratch_path, written
 
 SPLIT_BYTES = 16 << 20
-HEAD = b"WARC/1.1\r\n"
+#: What a record of any version begins with.
+HEAD = b"WARC/"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -34,27 +37,39 @@ def payload_digest(payload: bytes) -> str:
 
 
 def filesystem(path: str):
+    """The file system of a path and the path in it; the path must name its scheme, as without one the executors' own
+    disks would be meant here, and the default file system by Spark."""
     from pyarrow import fs
 
+    if "://" not in path and not path.startswith("file:"):
+        raise ValueError(f"{path} needs a scheme, such as file:// or hdfs://")
+    if path.startswith("s3a://"):
+        path = "s3://" + path[len("s3a://") :]
     return fs.FileSystem.from_uri(path)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    block = HTTP if revisit else HTTP + payload
+def response_id(page_id: int | None, digest: str) -> bytes:
+    """The record id of the response among the records of a payload."""
+    return b"<urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}:{digest}")).encode()
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, record_id: bytes | None = None) -> bytes:
+    """One gzip member. record_id: by default that of the payload's response."""
+    block, digest = HTTP if revisit else HTTP + payload, payload_digest(payload)
     lines = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}:{url}:{revisit}")).encode(),
+        b"WARC-Record-ID: " + (record_id or response_id(page_id, digest)),
         b"WARC-Date: 2024-01-01T00:00:00Z",
         b"WARC-Target-URI: " + (url or "about:blank").replace("\r", "").replace("\n", "").encode("utf-8", "replace"),
-        b"WARC-Payload-Digest: sha1:" + payload_digest(payload).encode(),
+        b"WARC-Payload-Digest: sha1:" + digest.encode(),
         b"Content-Type: application/http; msgtype=response",
         b"Content-Length: %d" % len(block),
     ]
     if page_id is not None:
         lines.append(b"X-Page-ID: %d" % page_id)
     if revisit:
-        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"X-Payload-Length: %d" % len(payload)]
+        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + response_id(refers_to, digest), b"X-Payload-Length: %d" % len(payload)]
         if refers_to is not None:
             lines.append(b"X-Refers-To-Page-ID: %d" % refers_to)
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -62,21 +77,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, revisit, refers_to of every row."""
+    """page_id, url, html, revisit, refers_to, single (whether it is the only response of its payload) of every row."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     # ids and digests alone are grouped; the texts are joined with what was decided for few of them
     slim = written(rows.select("page_id", "digest", "n").groupBy("page_id", "digest", "n").agg(F.count(F.lit(1)).alias("copies")), "payload-digests")
     # of rows that repeat id and payload of the response one is it: twins tells whether there are any
     groups = slim.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.sum("copies").alias("size"), F.max_by("copies", "page_id").alias("top_copies")).where("size > 1")
-    groups = groups.select("digest", "top", "size", (F.col("top").isNull() | (F.col("top_copies") > 1)).alias("twins"))
-    rows = rows.join(groups, "digest", "left").withColumn("twins", F.coalesce("twins", F.lit(False)) & F.col("page_id").eqNullSafe(F.col("top")))
+    groups = written(groups.select("digest", "top", "size", (F.col("top").isNull() | (F.col("top_copies") > 1)).alias("twins")), "payload-groups")
+    # the pages of a payload that very many have are not dealt by it
+    rows = join_groups(rows, groups, ["digest"], "size", slim.agg(F.sum("copies")).first()[0] or 0, "left").withColumn("twins", F.coalesce("twins", F.lit(False)) & F.col("page_id").eqNullSafe(F.col("top")))
     rows = rows.withColumn("nth", F.lit(1))
     if not groups.where("twins").isEmpty():  # repeated rows need a number among themselves, and the join a second time
+        # one of them is the response, told by its url (of several the least) and, where that repeats too, by a number
+        least = written(rows.where("twins").groupBy("digest", "page_id").agg(F.min(F.struct(F.col("url").isNull().alias("none"), "url")).alias("least")), "twins")
+        least = least.select(F.col("digest").alias("d2"), F.col("page_id").alias("p2"), F.col("least.url").alias("u2"))
+        hit = (F.col("digest") == F.col("d2")) & F.col("page_id").eqNullSafe(F.col("p2")) & F.col("url").eqNullSafe(F.col("u2"))
+        twins = rows.where("twins").join(least, hit, "left").withColumn("hit", F.col("d2").isNotNull()).drop("d2", "p2", "u2")
         own = Window.partitionBy("digest", "page_id").orderBy("url")
-        rows = rows.where("not twins").unionByName(rows.where("twins").withColumn("nth", F.row_number().over(own)))
+        first = twins.where("hit").withColumn("nth", F.row_number().over(own))
+        rows = rows.where("not twins").unionByName(first.drop("hit")).unionByName(twins.where("NOT hit").drop("hit").withColumn("nth", F.lit(2)))
     is_response = F.col("size").isNull() | (F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1))
-    return rows.select("page_id", "url", "html", (~is_response).alias("revisit"), F.when(~is_response, F.col("top")).alias("refers_to"))
+    return rows.select("page_id", "url", "html", (~is_response).alias("revisit"), F.when(~is_response, F.col("top")).alias("refers_to"), (F.col("n") >= min_bytes).alias("single"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> list[tuple[str, int]]:
@@ -86,12 +108,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> list[tupl
         fs, root = filesystem(path)
         fs.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
-        size, out = 0, None
+        size, out, at = 0, None, 0
         for batch in batches:
-            for page_id, url, html, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, revisit, refers_to, single in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}.attempt", compression=None)
-                size += out.write(record(page_id, url, html.encode("utf-8", "replace"), refers_to, revisit))
+                at += 1
+                own = None if single and not revisit else b"<urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_OID, f"{name}:{at}")).encode()
+                size += out.write(record(page_id, url, html.encode("utf-8", "replace"), refers_to, revisit, own))
         if out is not None:
             out.close()
             fs.move(f"{root}/{name}.attempt", f"{root}/{name}.warc.gz")
@@ -142,7 +166,7 @@ def _inflated(handle, at: int, size: int, step: int = 1 << 18) -> tuple[bytes, i
         except zlib.error:
             return None
         pos += len(data)
-        if not checked:
+        if not checked:  # a member is one if it begins like a record
             first = b"".join(out)
             if len(first) >= len(HEAD) or inflate.eof:
                 if not first.startswith(HEAD):
@@ -159,6 +183,8 @@ def parsed(body: bytes) -> tuple[dict[str, str], bytes]:
         k, _, v = line.partition(b":")
         headers[k.strip().decode("ascii", "replace").lower()] = v.strip().decode("utf-8", "replace")
     block = rest[: int(headers.get("content-length", 0))]
+    if not headers.get("content-type", "application/http").startswith("application/http"):
+        return headers, block
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
@@ -183,9 +209,9 @@ def read_archives(spark: SparkSession, path: str, files: list[tuple[str, int]],
                 with fs.open_input_file(f"{root}/{file}") as handle:
                     for body in members(handle, a, b):
                         h, payload = parsed(body)
-                        kind = h["warc-type"]
+                        kind = h.get("warc-type")
                         if kind == "revisit":
-                            rows.append((number(h.get("x-page-id")), kind, number(h.get("x-refers-to-page-id")), number(h.get("x-payload-length")), h["warc-payload-digest"].removeprefix("sha1:"), h.get("warc-target-uri"), None))
+                            rows.append((number(h.get("x-page-id")), kind, number(h.get("x-refers-to-page-id")), number(h.get("x-payload-length")), (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None, h.get("warc-target-uri"), None))
                         else:
                             rows.append((number(h.get("x-page-id")), kind, None, len(payload), payload_digest(payload), h.get("warc-target-uri"), payload))
                         held += len(payload)
