@@ -4,7 +4,8 @@ Services log a conversation again and again as it grows. A conversation's turns,
 (128 bits: running exclusive-or over the hashes of position, role and text); one whose whole hash is a proper prefix hash
 of another is a snapshot, and an anti-join drops it. Of equal conversations the smallest conv_id stays. What is left is
 rendered, turn by turn, in order. JVM-side throughout. Turns are dealt by conversation and stretch of turns, so that one
-very long conversation is many tasks' work, and renders are cut into parts of PART turns.
+very long conversation is many tasks' work (only sums over its stretches, a STRETCH-th of its turns, are one task's), and
+renders are cut into parts of PART turns.
 
 Defined cases: turns are ordered by turn, role and text, nulls first; a null role renders as "user", a null text as empty;
 turns with a null conv_id make up one conversation; repeated rows are turns of their own; an empty table gives an empty
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_groups, written
 
 STRETCH = 64
 PART = 1024
@@ -37,8 +38,8 @@ def maximal_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("cid", "stretch").orderBy("pos")
     rolling = rows.select("cid", "stretch", "pos", F.bit_xor("a").over(w).alias("a"), F.bit_xor("b").over(w).alias("b")).join(tops, ["cid", "stretch"])
     rolling = written(rolling.select("cid", "pos", F.col("a").bitwiseXOR(F.col("a0")).alias("a"), F.col("b").bitwiseXOR(F.col("b0")).alias("b")), "rolling")
-    lengths = rolling.groupBy("cid").agg(F.max("pos").alias("n_turns"))
-    ends = rolling.join(lengths, "cid")
+    lengths = written(rolling.groupBy("cid").agg(F.max("pos").alias("n_turns")), "lengths")
+    ends = join_groups(rolling, lengths, ["cid"], "n_turns", rolling.count())
     whole = ends.where("pos = n_turns").groupBy("n_turns", "a", "b").agg(F.min_by("cid", F.struct(F.expr("try_cast(cid AS bigint)"), "cid")).alias("cid"), F.count(F.lit(1)).alias("copies"))
     proper = ends.where("pos < n_turns").select(F.col("pos").alias("n_turns"), "a", "b").distinct()
     return rows, whole.join(proper, ["n_turns", "a", "b"], "left_anti").select("cid", "n_turns", "copies")
@@ -49,7 +50,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows, kept = maximal_conversations(turns)
     line = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
     part = F.floor((F.col("pos") - 1) / PART).cast("int")
-    parts = rows.join(kept, "cid").groupBy("cid", part.alias("part"), "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
+    kept = written(kept, "kept")
+    parts = join_groups(rows, kept, ["cid"], "n_turns", rows.count()).groupBy("cid", part.alias("part"), "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("x"))
     return parts.select(F.when(F.col("cid") != "", F.col("cid").cast("long")).alias("conv_id"), "part", "n_turns", "copies", F.array_join(F.transform("x", lambda x: x["line"]), "").alias("text"))
 
 
