@@ -22,9 +22,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import delete_path, scratch_path, written
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples that one row of the aggregation computes; its generated code must stay small enough to be compiled.
 AT_ONCE = 2
 SPACES = r"[\x20\x09-\x0D]+"
@@ -91,7 +91,8 @@ def fingerprint_report(docs: DataFrame, samples: int = SAMPLES, text: str = "tex
     edited = edited.withColumn("kept", F.expr("left(text, cast(n_chars as int) - k)")).withColumn("cut", F.expr("substring(text, cast(n_chars as int) - k + 1)")).withColumn("put", F.expr("left(head, k)"))
     edited = edited.select("did", F.monotonically_increasing_id().alias("rid"), F.xxhash64("did", "text").alias("h"), "n_chars", F.sha2(F.concat("kept", "put"), 256).alias("edited_sha256"), "kept", "cut", "put")
     name = f"edited_{uuid.uuid4().hex}"
-    edited.write.option("path", scratch_path(spark, name)).option("compression", "zstd").bucketBy(buckets, "did").saveAsTable(name)
+    path = scratch_path(spark, name)
+    edited.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "did").saveAsTable(name)
     edited = spark.table(name)
 
     texts = F.explode(F.array(F.struct(F.lit(0).alias("other"), F.concat("kept", "cut").alias("t")), F.struct(F.lit(1).alias("other"), F.concat("kept", "put").alias("t"))))
@@ -105,6 +106,8 @@ def fingerprint_report(docs: DataFrame, samples: int = SAMPLES, text: str = "tex
     empty = F.array_repeat(F.lit(NONE), samples)
     marked = edited.select("did", "rid", "h", "n_chars", "edited_sha256").join(signatures, ["did", "rid"], "left")
     marked = written(marked.withColumn("own", F.coalesce("own", empty)).withColumn("new", F.coalesce("new", empty)), "signatures")
+    spark.sql(f"DROP TABLE {name}")
+    delete_path(spark, path)
     following = marked.groupBy("did").agg(F.min_by("own", "h").alias("next")).withColumnRenamed("did", "next_did")
     out = marked.join(follow.select("did", "next_did"), "did").join(following, "next_did")
     return out.select(
