@@ -296,30 +296,44 @@ CELL_BITS, BLOCK_CELL_BITS = 22, 16
 #: A cell is common from so many documents on, and from so many times the mean of all cells on.
 COMMON_DOCS, COMMON_TIMES = 16, 4
 PARITY_WORDS = 8
-WORD_CACHE = 500_000
+#: Texts are hashed about so many bytes at a time.
+SLICE_BYTES = 4_000_000
 
 
-def stage_shingles(text: str | None, cache: dict[bytes, int]) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles of STAGE_WORDS words, ascending; the whole sequence where there are fewer."""
+def stage_shingles(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text, the distinct 64-bit hashes of its shingles of STAGE_WORDS words, ascending; that of the whole sequence
+    where it has fewer words. A-Z count as a-z, words lie between ASCII white space; each distinct word is hashed once."""
+    import pyarrow.compute as pc
     import xxhash
 
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(cache) > WORD_CACHE:
-        cache.clear()
-    got = list(map(cache.get, found))
-    if None in got:
-        for i, h in enumerate(got):
-            if h is None:
-                got[i] = cache[found[i]] = xxhash.xxh64_intdigest(found[i], SEED)
-    w = np.array(got, np.uint64)
-    k = min(STAGE_WORDS, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)))
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.slice(at, stop - at))))
+        bounds = np.asarray(lists.offsets, dtype=np.int64)
+        coded = lists.values.dictionary_encode()
+        known = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        w = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[np.asarray(coded.indices)]
+        blank = known.index(b"") if b"" in known else -1
+
+        def mixed(k: int, w: np.ndarray) -> np.ndarray:
+            h = np.full(max(len(w) - k + 1, 0), k, np.uint64)
+            for i in range(k):
+                h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            return h * np.uint64(0xBF58476D1CE4E5B9)
+
+        whole, codes = mixed(STAGE_WORDS, w), np.asarray(coded.indices)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b == a or (b == a + 1 and codes[a] == blank):
+                yield np.zeros(0, np.uint64)
+            elif b - a < STAGE_WORDS:
+                yield mixed(b - a, w[a:b])
+            else:
+                yield np.unique(whole[a : b - STAGE_WORDS + 1])
+        at = stop
 
 
 def prefix_length(n: int) -> int:
@@ -342,12 +356,11 @@ def cell_ranks(docs: DataFrame) -> np.ndarray:
     blocks = 1 << (CELL_BITS - BLOCK_CELL_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         found = np.zeros((blocks, 1 << BLOCK_CELL_BITS), "<u4")
         flat = found.reshape(-1)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                flat[np.unique(_cells(stage_shingles(t, cache)))] += 1
+            for h in stage_shingles(batch.column(0)):
+                flat[_cells(h)] += 1  # a cell that several shingles of a text fall on counts once
         used = [b for b in range(blocks) if found[b].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([found[b].tobytes() for b in used], pa.binary())], ["block", "counts"])
 
@@ -386,12 +399,10 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a byte a cell, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         rank = sent.value
         for batch in batches:
             sizes, heads, bits = [], [], []
-            for t in batch.column(1).to_pylist():
-                h = stage_shingles(t, cache)
+            for h in stage_shingles(batch.column(1)):
                 sizes.append(len(h))
                 bits.append(parity(h))
                 h = h[np.argsort(rank[_cells(h)], kind="stable")]
@@ -408,9 +419,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b of the candidates (a, b) whose shingle sets have the similarity; only the texts of candidates are read again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         for batch in batches:
-            found = [stage_shingles(t, cache).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [h.view(np.int64) for h in stage_shingles(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fid", "set"])
 
     pairs = written(pairs, "candidates")
@@ -437,32 +447,36 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """
     heads = written(prefixes(docs, cell_ranks(docs)).groupBy("fid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes")
     members = heads.select("fid", "n", F.posexplode("prefix").alias("at", "value"))
-    shared = members.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    a, b = SIMILAR  # the smaller set of a pair has the first value that they share among its first (b - a) / (a + b)
+    front = (a + b) * F.col("at") <= (b - a) * F.col("n")
+    shared = members.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(front).alias("front")).where("size > 1 AND front").select("value")
+    members = written(members.join(shared, "value"), "members")
     bits = [f"b{i}" for i in range(PARITY_WORDS)]
-    narrow = written(members.join(shared, "value"), "narrow-members")
-    members = written(narrow.join(heads.select("fid", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "fid"), "members")
-    dropped(heads, narrow)
-    own = ["fid", "n", "at", *bits]
+    maps = heads.select("fid", *(F.col("bits")[i].alias(c) for i, c in enumerate(bits)))
+    own = ["fid", "n", "at"]
     differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("b02")))
-    for b in bits[1:]:
-        differ = differ + F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2")))
-    a, b = SIMILAR  # shared >= a / (a + b) * (n + n2), and shared <= (n + n2 - differ) / 2
+    for c in bits[1:]:
+        differ = differ + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2")))
+    # shared >= a / (a + b) * (n + n2), and shared <= (n + n2 - differ) / 2
     few = (a + b) * differ <= (b - a) * (F.col("n") + F.col("n2"))
-    may = few & similar(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")), F.col("n"), F.col("n2"))
-    pair = [F.least("fid", "fid2").alias("a"), F.greatest("fid", "fid2").alias("b")]
+    may = similar(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")), F.col("n"), F.col("n2"))
 
     lead = members.groupBy("value").agg(F.max_by(F.struct(*own), F.xxhash64("fid", "value")).alias("lead")).select("value", *(F.col(f"lead.{c}").alias(f"{c}2") for c in own))
-    star = verified(members.join(lead, "value").where((F.col("fid") != F.col("fid2")) & few).select(*pair).distinct(), docs)
+    first = members.join(lead, "value").where((F.col("fid") != F.col("fid2")) & may)
+    first = first.select(F.least("fid", "fid2").alias("fid"), F.greatest("fid", "fid2").alias("fid2"), (F.col("n") + F.col("n2")).alias("n")).distinct()
+    first = first.join(maps, "fid").join(maps.select(F.col("fid").alias("fid2"), *(F.col(c).alias(f"{c}2") for c in bits)), "fid2").withColumn("n2", F.lit(0))
+    star = verified(first.where(few).select(F.col("fid").alias("a"), F.col("fid2").alias("b")), docs)
     united = connected_components(star)
     placed = members.join(united.withColumnRenamed("node", "fid"), "fid", "left")
     members_in = written(placed.select("value", *own, F.coalesce("root", "fid").alias("set")), "members-in")
     dropped(members)
     largest = members_in.groupBy("value", "set").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max_by("set", F.struct("n", "set")).alias("largest"), F.count(F.lit(1)).alias("sets"))
-    valued = written(members_in.join(largest.where("sets > 1").drop("sets"), "value"), "valued")
-    dropped(members_in)
-    met = valued.select("value", *(F.col(c).alias(f"{c}2") for c in own), F.col("set").alias("set2"))
+    valued = written(members_in.join(largest.where("sets > 1").drop("sets"), "value").join(maps, "fid"), "valued")
+    dropped(members_in, heads)
+    met = valued.select("value", *(F.col(c).alias(f"{c}2") for c in (*own, *bits)), F.col("set").alias("set2"))
     once = (F.col("set2") == F.col("largest")) | (F.col("fid") < F.col("fid2"))  # each pair once a value
-    found = verified(valued.where(F.col("set") != F.col("largest")).join(met, "value").where((F.col("set") != F.col("set2")) & once & may).select(*pair).distinct(), docs)
+    pairs = valued.where(F.col("set") != F.col("largest")).join(met, "value").where((F.col("set") != F.col("set2")) & once & may & few)
+    found = verified(pairs.select(F.least("fid", "fid2").alias("a"), F.greatest("fid", "fid2").alias("b")).distinct(), docs)
     dropped(valued)
     return connected_components(star.union(found))
 
