@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's cache of chunks; it is emptied when full (about 220 bytes an entry).
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 #: Texts are laid out about so many bytes at a time.
 SLICE_BYTES = 4_000_000
 #: Letters below U+0250, which NFC leaves alone, then ASCII signs; "<" and "|" could begin a special token.
