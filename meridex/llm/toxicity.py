@@ -4,9 +4,9 @@ Training uses a bounded sample of the labelled rows: at most MAX_ROWS rows and M
 hash of doc_id, so that the sample is the same wherever the rows lie; a text that doesn't fit any more is passed over. A
 feature is a hashed character n-gram (a space at either end of a word belongs to it), its value is whether the text has
 it, times the log ratio of the n-gram's smoothed document rates under both labels. Logistic regression with an L2
-penalty weighs the scaled features. The n-grams are hashed where the texts lie; one executor task fits the (bounded)
-sample from their ids and gives the weights that aren't 0, which alone reach the driver. Scoring streams whole texts
-through the executors.
+penalty weighs the scaled features. The n-grams are hashed and counted where the texts lie; what reaches the driver are the
+counts of all 2 ** BITS cells and the weights. One executor task fits the (bounded) sample from the features that count.
+Scoring streams whole texts through the executors.
 
 Defined cases: a null text counts as empty and gets the score of no features; rows without a label aren't trained on;
 a null label is none; if only one label occurs, every score is that label's smoothed rate; with no labelled row at all
@@ -26,10 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import dropped, written
+
 #: The bound of the training sample.
 MAX_ROWS, MAX_CHARS = 8_000, 30_000_000
 NGRAMS = (5,)
 BITS = 20
+#: Counts travel in blocks of so many cells.
+BLOCK_BITS = 16
 THRESHOLD = 0.3
 #: An n-gram counts if so many training texts have it and its log ratio is that far from 0.
 MIN_TEXTS, MIN_RATIO = 5, 1.0
@@ -90,46 +94,32 @@ def unlearned(labels: np.ndarray) -> Model:
     return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))) if len(labels) else -40.0)
 
 
-def fit(rows: list[np.ndarray], labels: list[int], l2: float = 1.0, steps: int = 300) -> Model:
-    """rows: the distinct feature ids of each text."""
-    y = np.asarray(labels, np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        return unlearned(y)
-    size = 1 << BITS
-    with_it = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
-    for ids, label in zip(rows, labels, strict=True):
-        with_it[label][ids] += 1
-    ratio = np.log((with_it[1] + 0.5) / (y.sum() + 1) / ((with_it[0] + 0.5) / (len(y) - y.sum() + 1))).astype(np.float32)
-    ratio[(np.abs(ratio) < MIN_RATIO) | (with_it[0] + with_it[1] < MIN_TEXTS)] = 0
-    used = np.flatnonzero(ratio)
-    if not len(used):
-        return unlearned(y)
-    place = np.full(size, -1, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    kept = []
-    for i, ids in enumerate(rows):
-        k = place[ids]
-        kept.append(k[k >= 0])
-        rows[i] = ids[:0]  # not needed any more
-    column, row = np.concatenate(kept), np.repeat(np.arange(len(y), dtype=np.int32), [len(k) for k in kept])
-    del kept
-    r = ratio[used]
+def ratios(counts: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """By feature, the log ratio of its smoothed rates under label 1 and 0, or 0 where it doesn't count. counts: texts with
+    the feature by label; texts: all texts by label."""
+    ratio = np.log((counts[1] + 0.5) / (texts[1] + 1) / ((counts[0] + 0.5) / (texts[0] + 1))).astype(np.float32)
+    ratio[(np.abs(ratio) < MIN_RATIO) | (counts[0] + counts[1] < MIN_TEXTS)] = 0
+    return ratio
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of the features, and the bias. rows: the features of each text, as places in r, their ratios."""
+    y = labels.astype(np.float32)
+    column, row = np.concatenate(rows), np.repeat(np.arange(len(y), dtype=np.int32), [len(k) for k in rows])
     value = r[column]
     # Adam on the scaled features
     rate = (y.sum() + 1) / (len(y) + 2)
-    w, b = np.zeros(len(used)), float(np.log(rate / (1 - rate)))
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    w, b = np.zeros(len(r)), float(np.log(rate / (1 - rate)))
+    m, v = np.zeros(len(r) + 1), np.zeros(len(r) + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, weights=w.astype(np.float32)[column] * value, minlength=len(y)) + b
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(column, weights=e.astype(np.float32)[row] * value, minlength=len(used)) + l2 * w, e.sum()) / len(y)
+        g = np.append(np.bincount(column, weights=e.astype(np.float32)[row] * value, minlength=len(r)) + l2 * w, e.sum()) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w -= step[:-1]
         b -= step[-1]
-    w *= r
-    big = np.abs(w) >= 1e-3
-    return Model(used[big].astype(np.int32), w[big].astype(np.float32), float(b))
+    return w * r, float(b)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -151,26 +141,67 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", label:
 
 
 def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    size, blocks = 1 << BITS, 1 << (BITS - BLOCK_BITS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, texts = np.zeros((2, size), "<i4"), [0, 0]
+        for batch in batches:
+            for t, label in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                found[int(label > 0)][feature_ids(_codes(t.as_py()))] += 1  # once a text, however often the text has it
+                texts[int(label > 0)] += 1
+        if sum(texts):
+            parts = [*(found[:, k << BLOCK_BITS : (k + 1) << BLOCK_BITS].tobytes() for k in range(blocks)), np.array(texts, "<i4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = [np.unique(feature_ids(_codes(t))).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x > 0) for x in batch.column(2).to_pylist()], pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "label", "ids"])
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(raw.as_py(), "<i4")
+                total[k] = total[k] + own if k in total else own
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["block", "counts"])
+
+    sample = written(training_rows(docs, labels, **how), "training-rows")
+    sums = {r["block"]: np.frombuffer(r["counts"], "<i4") for r in sample.mapInArrow(counted, "block int, counts binary").repartition(blocks, "block").mapInArrow(added, "block int, counts binary").toLocalIterator()}
+    if not sums:
+        dropped(sample)
+        return unlearned(np.zeros(0))
+    texts = sums.pop(blocks)
+    ratio = ratios(np.concatenate([sums.pop(k).reshape(2, -1) for k in range(blocks)], axis=1), texts)
+    used = np.flatnonzero(ratio).astype(np.int32)
+    if not texts.min() or not len(used):
+        dropped(sample)
+        return unlearned(np.repeat([0, 1], texts))
+    sent = spark.sparkContext.broadcast((used, ratio[used]))  # 8 MB at most, whatever the input
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(size, -1, np.int32)
+        place[sent.value[0]] = np.arange(len(sent.value[0]), dtype=np.int32)
+        for batch in batches:
+            rows = []
+            for t in batch.column(1):
+                k = place[feature_ids(_codes(t.as_py()))]
+                rows.append(np.unique(k[k >= 0]).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(x > 0) for x in batch.column(2).to_pylist()], pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks = [], []
         for batch in batches:
             marks += batch.column(1).to_pylist()
-            rows += [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
-        model = fit(rows, marks)
-        one = [pa.array([model.ids.astype("<i4").tobytes()], pa.binary()), pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())]
-        yield pa.RecordBatch.from_arrays(one, ["ids", "weights", "bias"])
-
-    rows = training_rows(docs, labels, **how).mapInArrow(hashed, "doc_id long, label int, ids binary")
-    # the sample is bounded, so that one task can hold it; its order doesn't change with the partitions
-    models = rows.repartition(1).sortWithinPartitions("doc_id", "ids").mapInArrow(fitted, "ids binary, weights binary, bias double").collect()
-    if not models:
-        return unlearned(np.zeros(0))
-    return Model(np.frombuffer(models[0]["ids"], "<i4"), np.frombuffer(models[0]["weights"], "<f4"), models[0]["bias"])
+            rows += [np.frombuffer(x.as_py(), "<i4") for x in batch.column(2)]
+        if rows:
+            weights, bias = fit(rows, np.array(marks), sent.value[1])
+            yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
+
+    # the sample is bounded, so that one task can hold the features that count; its order doesn't change with the partitions
+    rows = sample.mapInArrow(placed, "doc_id long, label int, features binary").repartition(1).sortWithinPartitions("doc_id", "features")
+    model = rows.mapInArrow(fitted, "weights binary, bias double").first()
+    dropped(sample)
+    weights = np.frombuffer(model["weights"], "<f4")
+    big = np.abs(weights) >= 1e-3
+    return Model(used[big], weights[big], model["bias"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
@@ -184,7 +215,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
         own = Model(*sent.value)
         weight = own.dense()
         for batch in batches:
-            got = pa.array([score_of(t, weight, own.bias) for t in batch.column(at).to_pylist()], pa.float64())
+            got = pa.array([score_of(t.as_py(), weight, own.bias) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*fields, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
