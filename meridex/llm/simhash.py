@@ -293,8 +293,8 @@ STAGE_WORDS = 5
 SIMILAR = (4, 5)
 #: The cells that shingles are counted in, and of one block of them.
 CELL_BITS, BLOCK_CELL_BITS = 22, 16
-#: A cell is common from so many documents on, and from so many times the mean of all cells on.
-COMMON_DOCS, COMMON_TIMES = 16, 4
+#: Cells are ranked by the logarithm of their count, in so many steps a doubling.
+RANKS_A_DOUBLING = 8
 PARITY_WORDS = 8
 #: Texts are hashed about so many bytes at a time.
 SLICE_BYTES = 4_000_000
@@ -351,8 +351,8 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def cell_ranks(docs: DataFrame) -> np.ndarray:
-    """By cell, 0 where few of all documents have shingles, else a rank that grows with their number. Every task sums up
-    its own documents in one array, and sends it in blocks; what reaches the driver are a byte a cell."""
+    """By cell, a rank that grows with the number of all documents that have a shingle there. Every task sums up its own
+    documents in one array, and sends it in blocks; what reaches the driver are a byte a cell."""
     blocks = 1 << (CELL_BITS - BLOCK_CELL_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,15 +371,13 @@ def cell_ranks(docs: DataFrame) -> np.ndarray:
                 own = np.frombuffer(raw, "<u4")
                 total[b] = total[b] + own if b in total else own.astype(np.int64)
         for b, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([int(sums.sum())]), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["block", "n", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["block", "sums"])
 
     parts = docs.select("text").mapInArrow(count, "block int, counts binary")
-    sums = written(parts.repartition(min(blocks, 64), "block").mapInArrow(added, "block int, n long, sums binary"), "cells")
-    least = max(COMMON_DOCS, COMMON_TIMES * (sums.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS))
-
+    sums = written(parts.repartition(min(blocks, 64), "block").mapInArrow(added, "block int, sums binary"), "cells")
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = [np.clip(np.log2(np.maximum(np.frombuffer(x, "<i8"), 1) / least) * 2 + 1, 0, 255).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            rank = [np.minimum(np.log2(np.maximum(np.frombuffer(x, "<i8"), 1)) * RANKS_A_DOUBLING, 255).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rank, pa.binary())], ["block", "ranks"])
 
     out = np.zeros((blocks, 1 << BLOCK_CELL_BITS), np.uint8)
