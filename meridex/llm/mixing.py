@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, join_groups, written
+from .common import dropped, fresh, giving_back, join_groups, written
 from .tokens import chunk_tokenizer, tokenizer_path
 
 MAX_REPEATS = 4.0
@@ -46,7 +46,7 @@ def token_counts(rows: DataFrame, text: str, tokenizer: str | None = None) -> Da
             _, ends = tok.encode(batch.column(at))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(np.diff(ends).astype(np.int64))], [*names, "tokens"])
 
-    return rows.mapInArrow(run, f"{schema}, tokens long")
+    return rows.mapInArrow(giving_back(run), f"{schema}, tokens long")
 
 
 def find_exponent(sources: DataFrame, total: int, budget: float, target_entropy: float | None, max_repeats: float) -> tuple[float, float]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import giving_back, written
 from .tokens import chunk_tokenizer, tokenizer_path
 
 CAPACITY = 4096
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(giving_back(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass

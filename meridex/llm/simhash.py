@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, join_groups, written
+from .common import dropped, giving_back, join_groups, written
 from .components import connected_components
 
 SEED = 42
@@ -296,8 +296,8 @@ CELL_BITS, BLOCK_CELL_BITS = 22, 16
 #: Cells are ranked by the logarithm of their count, in so many steps a doubling.
 RANKS_A_DOUBLING = 8
 PARITY_WORDS = 8
-#: Texts are hashed about so many bytes at a time.
-SLICE_BYTES = 4_000_000
+#: Texts are hashed about so many bytes at a time, and sent on about so many hashes at a time.
+SLICE_BYTES, BATCH_HASHES = 2_000_000, 200_000
 
 
 def stage_shingles(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -373,8 +373,8 @@ def cell_ranks(docs: DataFrame) -> np.ndarray:
         for b, sums in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["block", "sums"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, counts binary")
-    sums = written(parts.repartition(min(blocks, 64), "block").mapInArrow(added, "block int, sums binary"), "cells")
+    parts = docs.select("text").mapInArrow(giving_back(count), "block int, counts binary")
+    sums = written(parts.repartition(min(blocks, 64), "block").mapInArrow(giving_back(added), "block int, sums binary"), "cells")
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank = [np.minimum(np.log2(np.maximum(np.frombuffer(x, "<i8"), 1)) * RANKS_A_DOUBLING, 255).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
@@ -398,33 +398,54 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
-        for batch in batches:
-            sizes, heads, bits = [], [], []
-            for h in stage_shingles(batch.column(1)):
-                sizes.append(len(h))
-                bits.append(parity(h))
-                h = h[np.argsort(rank[_cells(h)], kind="stable")]
-                heads.append(h[: prefix_length(len(h))] if len(h) else np.zeros(1, np.uint64))
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            fid, sizes, heads, bits = zip(*rows, strict=True)
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            values = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
-            words = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), PARITY_WORDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), words], ["fid", "n", "prefix", "bits"])
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
+            words = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits)), PARITY_WORDS).cast(pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(fid, pa.int64()), pa.array(sizes, pa.int32()), prefix, words], ["fid", "n", "prefix", "bits"])
 
-    return docs.select("fid", "text").mapInArrow(run, "fid long, n int, prefix array<long>, bits array<long>")
+        for batch in batches:
+            rows, held = [], 0
+            for fid, h in zip(batch.column(0).to_pylist(), stage_shingles(batch.column(1)), strict=True):
+                head = h[np.argsort(rank[_cells(h)], kind="stable")[: prefix_length(len(h))]] if len(h) else np.zeros(1, np.uint64)
+                rows.append((fid, len(h), head, parity(h)))
+                held += len(head)
+                if held >= BATCH_HASHES:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    return docs.select("fid", "text").mapInArrow(giving_back(run), "fid long, n int, prefix array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b of the candidates (a, b) whose shingle sets have the similarity; only the texts of candidates are read again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(fids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(fids, pa.int64()), sets], ["fid", "set"])
+
         for batch in batches:
-            found = [h.view(np.int64) for h in stage_shingles(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fid", "set"])
+            fids, found, held = [], [], 0
+            for fid, h in zip(batch.column(0).to_pylist(), stage_shingles(batch.column(1)), strict=True):
+                fids.append(fid)
+                found.append(h)
+                held += len(h)
+                if held >= BATCH_HASHES:
+                    yield made(fids, found)
+                    fids, found, held = [], [], 0
+            if fids:
+                yield made(fids, found)
 
     pairs = written(pairs, "candidates")
     total = pairs.count()
     wanted = pairs.select(F.col("a").alias("fid")).union(pairs.select(F.col("b").alias("fid"))).distinct()
-    own = docs.select("fid", "text").join(wanted, "fid", "left_semi").groupBy("fid").agg(F.first("text").alias("text")).mapInArrow(sets, "fid long, set array<long>")
+    own = docs.select("fid", "text").join(wanted, "fid", "left_semi").groupBy("fid").agg(F.first("text").alias("text")).mapInArrow(giving_back(sets), "fid long, set array<long>")
     own = written(own, "sets")
     out = pairs
     for end in ("a", "b"):

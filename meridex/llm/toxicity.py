@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, written
+from .common import dropped, giving_back, written
 
 #: The bound of the training sample.
 MAX_ROWS, MAX_CHARS = 8_000, 30_000_000
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["block", "counts"])
 
     sample = written(training_rows(docs, labels, **how), "training-rows")
-    sums = {r["block"]: np.frombuffer(r["counts"], "<i4") for r in sample.mapInArrow(counted, "block int, counts binary").repartition(blocks, "block").mapInArrow(added, "block int, counts binary").toLocalIterator()}
+    sums = {r["block"]: np.frombuffer(r["counts"], "<i4") for r in sample.mapInArrow(giving_back(counted), "block int, counts binary").repartition(blocks, "block").mapInArrow(giving_back(added), "block int, counts binary").toLocalIterator()}
     if not sums:
         dropped(sample)
         return unlearned(np.zeros(0))
@@ -196,8 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, **how) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
 
     # the sample is bounded, so that one task can hold the features that count; its order doesn't change with the partitions
-    rows = sample.mapInArrow(placed, "doc_id long, label int, features binary").repartition(1).sortWithinPartitions("doc_id", "features")
-    model = rows.mapInArrow(fitted, "weights binary, bias double").first()
+    rows = sample.mapInArrow(giving_back(placed), "doc_id long, label int, features binary").repartition(1).sortWithinPartitions("doc_id", "features")
+    model = rows.mapInArrow(giving_back(fitted), "weights binary, bias double").first()
     dropped(sample)
     weights = np.frombuffer(model["weights"], "<f4")
     big = np.abs(weights) >= 1e-3
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
             got = pa.array([score_of(t.as_py(), weight, own.bias) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*fields, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
