@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, fresh, giving_back, join_groups, written
-from .tokens import chunk_tokenizer, tokenizer_path
+from .tokens import chunk_tokenizer, sub_batches, tokenizer_path
 
 MAX_REPEATS = 4.0
 STEPS, PASSES = 32, 4
@@ -42,7 +42,7 @@ def token_counts(rows: DataFrame, text: str, tokenizer: str | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = chunk_tokenizer(path)
-        for batch in batches:
+        for batch in sub_batches(batches, at):
             _, ends = tok.encode(batch.column(at))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(np.diff(ends).astype(np.int64))], [*names, "tokens"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import giving_back, written
-from .tokens import chunk_tokenizer, tokenizer_path
+from .tokens import chunk_tokenizer, sub_batches, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = chunk_tokenizer(path)
         tail = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in sub_batches(batches, 1):
             ids, offsets = tok.encode(batch.column(1))
             rows: list[tuple] = []
             for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

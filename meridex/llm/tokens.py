@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's cache of chunks; it is emptied when full (about 220 bytes an entry).
-CACHE_ENTRIES = 120_000
+CACHE_ENTRIES = 100_000
 #: Texts are laid out about so many bytes at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Letters below U+0250, which NFC leaves alone, then ASCII signs; "<" and "|" could begin a special token.
 WORD = re.compile(r"([A-Za-z\u00c0-\u024f]+)([!-&(-/:;=-@\[-`{}~]*)")
 
@@ -40,6 +41,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def sub_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE_BYTES of text (column at), of one row at least, so that ids are held for few texts."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64))
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES)))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 class ChunkTokenizer:
     """encode(texts) gives (ids uint32, offsets): ids[offsets[i]:offsets[i + 1]] are those of text i."""
 
