@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import text as X
-from ..operators import audit, backfill, copies, graph, grounding, vectors, votes
+from ..operators import audit, backfill, copies, graph, grounding, search, vectors, votes
+from ..operators import labels as next_labels
+from ..operators import references as refs
 from .registry import query
 
 
@@ -387,3 +390,55 @@ def embedding_backfill(spark, sf_dir):
 
 def _letters(texts: list[str]) -> list[list[float] | None]:
     return [[float(text.lower().count(c)) for c in "aeiou"] for text in texts]
+
+
+# labels and references -----------------------------------------------------------------------------------------------
+
+LABELS_SQL = "SELECT p_partkey, 'MPL-' || lpad(CAST(p_partkey % 999 + 1 AS VARCHAR), 3, '0') AS top, lpad(CAST(p_size AS VARCHAR), 3, '0') AS child, CASE WHEN p_partkey % 7 = 0 THEN 'a' END AS letter FROM part"
+
+
+def part_labels(spark, sf_dir):
+    part, k = t(spark, sf_dir, "part"), F.col("p_partkey")
+    return part.select("p_partkey", L.formed(F.array((k % 999 + 1).cast("int"), F.col("p_size")), F.when(k % 7 == 0, "a")).alias("label"))
+
+
+@query("label_parts", f"SELECT p_partkey, top || '.' || child || coalesce(letter, '') AS label, CASE WHEN letter IS NULL THEN top ELSE top || '.' || child END AS parent, CAST(2 AS INTEGER) AS depth FROM ({LABELS_SQL})")
+def label_parts(spark, sf_dir):
+    label = F.col("label")
+    return part_labels(spark, sf_dir).select("p_partkey", "label", L.parent(label).alias("parent"), L.depth(label).alias("depth"))
+
+
+@query(
+    "next_child_label",
+    f"""WITH l AS (SELECT DISTINCT top, CAST(child AS INTEGER) AS n FROM ({LABELS_SQL}) WHERE letter IS NULL), p AS (SELECT DISTINCT top FROM ({LABELS_SQL})),
+    c AS (SELECT top, 1 AS n FROM p UNION SELECT top, n + 1 FROM l) SELECT top AS parent, top || '.' || lpad(CAST(min(n) AS VARCHAR), 3, '0') AS label FROM c ANTI JOIN l USING (top, n) GROUP BY top""",
+)
+def next_child_label(spark, sf_dir):
+    have = part_labels(spark, sf_dir).select("label")
+    base = L.segments(F.col("label"))
+    return next_labels.next_child(have.select(L.formed(F.slice(base, 1, 1)).alias("parent")).distinct(), have)
+
+
+TERM_INDEX_SQL = "SELECT term, 'B' || min(item_id) AS target FROM (SELECT regexp_extract(lower(text), '([a-z]{5,} [a-z]{4,})', 1) AS term, item_id FROM benchmark) WHERE term <> '' GROUP BY term"
+
+
+@query("semantic_references", rf"SELECT doc_id, target FROM documents, ({TERM_INDEX_SQL}) WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || term || '($|[^\p{{L}}\p{{N}}_])') GROUP BY doc_id, target")
+def semantic_references(spark, sf_dir):
+    """Which documents use a benchmark item's first pair of long words as a term."""
+    found = t(spark, sf_dir, "benchmark").select(F.regexp_extract(F.lower("text"), "([a-z]{5,} [a-z]{4,})", 1).alias("term"), "item_id").where("term <> ''")
+    index = found.groupBy("term").agg(F.concat(F.lit("B"), F.min("item_id").cast("string")).alias("target"))
+    return refs.semantic_references(t(spark, sf_dir, "documents").select("doc_id", "text"), index, "doc_id").distinct()
+
+
+@query(
+    "search_terms",
+    r"""WITH w AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '\w+')) AS n, list_distinct(regexp_extract_all(lower(p_type), '\w+')) AS a, p_name, p_type FROM part),
+    s AS (SELECT 'P' || p_partkey AS label, p_name AS canonical_term, CASE WHEN 'p' || p_partkey IN ('p7', 'p11') THEN 30 ELSE 0 END + CASE WHEN length(p_name) >= 4 AND strpos(' p7 p11 standard ', ' ' || lower(p_name) || ' ') > 0 THEN 20 ELSE 0 END
+      + CASE WHEN length(p_type) >= 4 AND strpos(' p7 p11 standard ', ' ' || lower(p_type) || ' ') > 0 THEN 15 ELSE 0 END + 10 * (10 * len(list_intersect(n, ['p7', 'p11', 'standard'])) + 5 * len(list_intersect(a, ['p7', 'p11', 'standard']))) AS score, list_has_any(n || a, ['p7', 'p11', 'standard']) AS via,
+      'p' || p_partkey IN ('p7', 'p11') AS own, lower(p_name) IN ('p7', 'p11', 'standard') AS exact, lower(p_type) IN ('p7', 'p11', 'standard') AS alias FROM w)
+    SELECT label, canonical_term, CAST(score AS INTEGER) AS score, CASE WHEN own THEN 'label' WHEN exact THEN 'exact' WHEN alias THEN 'alias' WHEN via THEN 'text' ELSE 'partial' END AS kind FROM s WHERE score > 0 ORDER BY s.score DESC, label DESC LIMIT 20""",
+)
+def search_terms(spark, sf_dir):
+    part = t(spark, sf_dir, "part")
+    entries = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("label"), F.col("p_name").alias("canonical_term"), F.array("p_type").alias("aliases"), F.array().cast("array<string>").alias("texts"), F.lit("en").alias("language"))
+    return search.search_terms(entries, ["P7", "P11", "standard"])
