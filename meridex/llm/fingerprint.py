@@ -32,8 +32,10 @@ NONE = (1 << 63) - 1
 LOWEST = -(1 << 63)
 
 
-def _unit(h: str, shift: int, width: int) -> str:
-    return f"((shiftrightunsigned({h}, {shift}) & {(1 << width) - 1}L) + 0.5D) / {1 << width}D"
+def _bits(h: str, shift: int, width: int) -> str:
+    """So many bits of a hash, as a number above 0; 2 ** -width times it is a draw from U(0, 1). Scaled by a product, as
+    Spark checks every divisor."""
+    return f"((shiftrightunsigned({h}, {shift}) & {(1 << width) - 1}L) + 0.5D)"
 
 
 def weighted_samples(terms: DataFrame, keys: list[str], marks: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -44,10 +46,10 @@ def weighted_samples(terms: DataFrame, keys: list[str], marks: list[str], sample
     rows = rows.withColumn("block", F.explode(F.array(*(F.lit(k) for k in range(0, samples, AT_ONCE)))))
     rows = rows.select(*keys, "block", "ln_w", *marks, *(F.xxhash64("term", F.col("block") + j).alias(f"g{j}") for j in each))
     rows = rows.select("*", *(F.xxhash64(f"g{j}").alias(f"h{j}") for j in each))
-    gamma = "-ln({} * {})"
-    drawn = {f"r{j}": gamma.format(_unit(f"g{j}", 0, 21), _unit(f"g{j}", 21, 21)) for j in each}
-    drawn |= {f"b{j}": _unit(f"g{j}", 42, 22) for j in each}
-    drawn |= {f"c{j}": "ln(" + gamma.format(_unit(f"h{j}", 0, 32), _unit(f"h{j}", 32, 32)) + ")" for j in each}
+    gamma = "-ln({} * {} * {!r}D)"
+    drawn = {f"r{j}": gamma.format(_bits(f"g{j}", 0, 21), _bits(f"g{j}", 21, 21), 2.0**-42) for j in each}
+    drawn |= {f"b{j}": f"{_bits(f'g{j}', 42, 22)} * {2.0**-22!r}D" for j in each}
+    drawn |= {f"c{j}": "ln(" + gamma.format(_bits(f"h{j}", 0, 32), _bits(f"h{j}", 32, 32), 2.0**-64) + ")" for j in each}
     rows = rows.select(*keys, "block", "ln_w", *marks, *(f"h{j}" for j in each), *(F.expr(e).alias(n) for n, e in drawn.items()))
     rows = rows.select("*", *(F.expr(f"floor(ln_w / r{j} + b{j})").alias(f"t{j}") for j in each))
     value = "shiftleft(cast((c{0} - r{0} * (t{0} + 1 - b{0}) + 128D) * 8388608D as long), 32) | ((h{0} ^ t{0}) & 4294967295L)"
