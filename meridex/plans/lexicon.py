@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import replies
 from ..functions import text as X
-from ..operators import audit, backfill, copies, graph, grounding, search, vectors, votes
+from ..operators import actions, audit, backfill, copies, graph, grounding, search, vectors, votes
 from ..operators import labels as next_labels
 from ..operators import references as refs
 from .registry import query
@@ -442,3 +443,45 @@ def search_terms(spark, sf_dir):
     part = t(spark, sf_dir, "part")
     entries = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("label"), F.col("p_name").alias("canonical_term"), F.array("p_type").alias("aliases"), F.array().cast("array<string>").alias("texts"), F.lit("en").alias("language"))
     return search.search_terms(entries, ["P7", "P11", "standard"])
+
+
+# replies and actions -------------------------------------------------------------------------------------------------
+
+
+@query(
+    "reply_opinions",
+    """SELECT event_id, CASE WHEN shape < 2 THEN event_type END AS definition, CASE WHEN shape < 2 THEN props END AS explanation, CASE WHEN shape < 2 THEN greatest(0.0, least(10.0, value)) END AS confidence,
+    CASE WHEN shape = 1 THEN 'user ' || user_id END AS context_name, CASE WHEN shape > 1 THEN 'no JSON object' END AS error FROM (SELECT *, event_id % 4 AS shape FROM events)""",
+)
+def reply_opinions(spark, sf_dir):
+    """Replies in prose, in a fence, without an object and broken off; every event is one."""
+    shape = F.col("event_id") % 4
+    frame = F.when(shape == 1, F.concat(F.lit("'user "), F.col("user_id").cast("string"), F.lit("'"))).otherwise("None")
+    body = F.to_json(F.struct(F.col("event_type").alias("definition"), F.lit("").alias("critique"), F.col("props").alias("rationale"), F.col("value").alias("confidence"), frame.alias("context_name")))
+    reply = F.when(shape == 0, F.concat(F.lit("Here it is: "), body, F.lit(" So far."))).when(shape == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(shape == 2, F.col("props").substr(2, 3)).otherwise(F.expr("left(body, length(body) - 1)"))
+    read = t(spark, sf_dir, "events").withColumn("body", body).select("event_id", replies.opinion(reply).alias("o"))
+    return read.select("event_id", "o.definition", "o.explanation", "o.confidence", "o.context_name", "o.error")
+
+
+@query(
+    "action_dispatch",
+    """WITH a AS (SELECT c_custkey AS seq, 'C' || c_custkey AS label, CASE WHEN c_nationkey % 2 = 1 THEN 'MPL-' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 3, '0') END AS had, c_custkey % 30 + 1 AS k, 'MPL-' || lpad(CAST(c_custkey % 30 + 1 AS VARCHAR), 3, '0') AS asked, (c_custkey % 101) / 10.0 AS confidence FROM customer),
+    r AS (SELECT *, CASE WHEN k > 25 THEN 'parent label ' || asked || ' does not exist' WHEN had = asked THEN 'child already has this parent' END AS bad, confidence < CASE WHEN had IS NULL THEN 8.0 ELSE 8.5 END AS low FROM a)
+    SELECT seq, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN low THEN 'pending_review' ELSE 'applied' END AS status,
+      CASE WHEN bad IS NOT NULL THEN bad WHEN low THEN 'confidence below ' || CASE WHEN had IS NULL THEN 'auto-apply threshold 8.0' ELSE 're-parenting threshold 8.5' END ELSE 'auto-applied' END AS detail,
+      had AS previous_parent_label, CASE WHEN bad IS NULL AND NOT low THEN asked ELSE had END AS parent_label FROM r""",
+)
+def action_dispatch(spark, sf_dir):
+    """Every customer is proposed a nation as its parent; some have one, some nations don't exist."""
+    label = lambda k: F.format_string("MPL-%03d", k.cast("int"))
+    customer, none = t(spark, sf_dir, "customer"), F.lit(None).cast("string")
+    own = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
+    had = F.when(F.col("c_nationkey") % 2 == 1, label(F.col("c_nationkey") + 1))
+    nations = t(spark, sf_dir, "nation").select(label(F.col("n_nationkey") + 1).alias("label"), none.alias("parent_label"))
+    entries = customer.select(own.alias("label"), had.alias("parent_label")).unionByName(nations)
+    entries = entries.select("label", F.col("label").alias("canonical_term"), F.array().cast("array<string>").alias("aliases"), "parent_label", F.lit("en").alias("language"))
+    absent = [none.alias(c) for c in ("label", "alias", "keep_label", "drop_label")]
+    asked = customer.select(F.col("c_custkey").alias("seq"), F.lit("propose_parent").alias("action_type"), own.alias("child_label"), label(F.col("c_custkey") % 30 + 1).alias("parent_label"), *absent, F.lit(None).cast("array<string>").alias("into"), (F.col("c_custkey") % 101 / 10).alias("confidence"))
+    out = actions.dispatch(asked, entries)
+    after = out.entries.select(F.col("label").alias("child_label"), "parent_label")
+    return out.actions.drop("parent_label").join(after, "child_label").select("seq", "status", "detail", "previous_parent_label", "parent_label")

@@ -26,7 +26,10 @@ def test_chunks(spark):
     for i, t in enumerate(texts):
         sections = [s for s in re.split(r"\n(?=## )", t or "") if s.strip()]
         parts = [p for s in sections for p in (fold([q for q in re.split(r"\n{2,}", s) if q.strip()], budget, "\n\n") if len(s) > budget else [s])]
-        want += [(i, k, c) for k, c in enumerate(fold(parts, budget, "\n"))]
+        at = 0
+        for k, c in enumerate(fold(parts, budget, "\n")):
+            want.append((i, k, c, at, at + len(c)))
+            at += len(c) + 1
     got = chunks.chunk(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), budget).collect()
     assert sorted(map(tuple, got)) == want
     with pytest.raises(ValueError):
