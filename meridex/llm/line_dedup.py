@@ -82,7 +82,8 @@ def _without(docs: DataFrame, text: str, min_words: int) -> tuple[DataFrame, str
     """docs with the later repeated runs taken out of the text, and the name of a further column, how many lines went."""
     doc, rid, gone, n = fresh(docs, "gone_doc", "gone_rid", "gone_lines", "gone_count")
     found = repeated_lines(docs, text, min_words).select(F.col("doc_id").alias(doc), F.col("rid").alias(rid), F.col("gone").alias(gone))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (row_key(text) == F.col(rid)), "left")
+    # always by shuffle: the gone lines grow with the corpus, and one plan at every size makes runs on small tables tell of large ones
+    joined = docs.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (row_key(text) == F.col(rid)), "left")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i) | (F.trim(x) == "")), "\n")
     cut = F.when(F.col(gone).isNull(), F.col(text)).otherwise(rest)
     count = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone))

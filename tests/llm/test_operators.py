@@ -310,6 +310,14 @@ def test_line_dedup(spark, none):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r[0], w) for r in rows for w in [want[r[0], r[1]]] if w == r[1] or w.replace("\n", "").strip(" "))
 
 
+def test_line_dedup_joins_alike_at_every_size(spark):
+    run = "\n".join("same old line" for _ in range(30))
+    out = line_dedup.dedup_lines(spark.createDataFrame([(i, f"{run}\nown {i}", None, None, None, None) for i in range(3)], DOCS))
+    assert [(r.doc_id, r.lines_deleted) for r in out.orderBy("doc_id").collect()][1:] == [(1, 30), (2, 30)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_exact_dedup(spark, docs, none):
     flat = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     rows, groups = corpus(), defaultdict(list)
