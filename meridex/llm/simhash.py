@@ -62,7 +62,10 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
 
 def simhash(text: str | None, words: int, lanes: int = 1, block: int = 1 << 15) -> bytes:
     """64 * lanes bits, the first the most significant: a bit is one if it is in over half of the shingle hashes."""
-    h = shingle_hashes(text, words)
+    return simhash_of(shingle_hashes(text, words), lanes, block)
+
+
+def simhash_of(h: np.ndarray, lanes: int = 1, block: int = 1 << 15) -> bytes:
     if not len(h):
         return bytes(8 * lanes)
     out = []
@@ -205,7 +208,13 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def near_components(fps: DataFrame, lanes: int, max_distance: int, radius: int, parts: tuple[int, ...], correlate: bool = True) -> DataFrame:
-    """node, root of the distinct fingerprints (fid, fp, docs) that have a link: at most max_distance bits differ.
+    """node, root of the distinct fingerprints (fid, fp, docs) that have a link: at most max_distance bits differ."""
+    return connected_components(near_links(fps, lanes, max_distance, radius, parts, correlate))
+
+
+def near_links(fps: DataFrame, lanes: int, max_distance: int, radius: int, parts: tuple[int, ...], correlate: bool = True) -> DataFrame:
+    """a, b of links between the distinct fingerprints (fid, fp, docs): at most max_distance bits differ. Enough of them to
+    have the components of all links; those within a set that others unite are left out.
 
     Complete for links of at most radius bits; beyond it a link is found if some partition is within its threshold.
     Candidates are verified in the condition of the join that meets them, so that none but links is ever a row. Where only
@@ -262,7 +271,7 @@ def near_components(fps: DataFrame, lanes: int, max_distance: int, radius: int,
         found = found.union(links_of(probes.where(~outer).join(met.where("NOT inside"), key).where(apart)))
     links = written(star.union(found), "links")
     dropped(probes, valued, star)
-    return connected_components(links)
+    return links
 
 
 def near_duplicates(
@@ -280,15 +289,20 @@ def near_duplicates(
     return join_groups(rows.select("doc_id", "fid", "fp"), classes, ["fid"], "docs", rows.count()).select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-# The pipeline's near-duplicates: five-word shingle sets with a Jaccard similarity of 0.8 or more. The pigeonhole search on
-# 1,024 bits can't reach these (155 bits differ on average, and any radius loses some links), so candidates come from prefixes
-# instead: in any one order of all shingles, sets of sizes n with that similarity share one of the first n - ceil(0.8 n) + 1 of
-# each. That is complete, and candidates are verified on the whole sets. The order only decides how many candidates there are:
+# The pipeline's near-duplicates: five-word shingle sets with a Jaccard similarity of 0.8 or more. SimHash fingerprints of these
+# sets are searched as above, by correlated partitions and thresholds planned over measured counts, and the links found are
+# checked on the whole sets. No radius reaches all pairs of that similarity (10 of 64 bits differ on average at 0.8), so what
+# the search leaves apart is completed exactly by prefixes: in any one order of all shingles, sets of sizes n with that
+# similarity share one of the first n - ceil(0.8 n) + 1 of each; these candidates are verified on the whole sets too, and only
+# texts that aren't united yet are met. The order only decides how many candidates there are:
 # shingles that many documents have are last. Each set also has a bitmap, of which a bit is one if an odd number of its
 # shingles fall on it: sets differ in at least as many shingles as their bitmaps do in bits, so that most pairs that are not
 # similar never leave the join.
 
 STAGE_WORDS = 5
+#: The search of fingerprints is complete for so many bits; pairs that meet in it are candidates up to so many.
+STAGE_RADIUS, STAGE_DISTANCE = 4, 10
+STAGE_PARTS = (2, 3, 4, 5)
 #: The similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
 #: The cells that shingles are counted in, and of one block of them.
@@ -393,24 +407,26 @@ def parity(h: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """fid, n (distinct shingles), prefix, bits (the bitmap); a text without words has n = 0 and the prefix 0."""
+    """fid, n (distinct shingles), mark (their SimHash), prefix, bits (the bitmap); a text without words has n = 0, and the
+    mark and the prefix 0."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a byte a cell, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            fid, sizes, heads, bits = zip(*rows, strict=True)
+            fid, sizes, marks, heads, bits = zip(*rows, strict=True)
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
             words = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits)), PARITY_WORDS).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(fid, pa.int64()), pa.array(sizes, pa.int32()), prefix, words], ["fid", "n", "prefix", "bits"])
+            mark = pa.array(np.frombuffer(b"".join(marks), ">i8").astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(fid, pa.int64()), pa.array(sizes, pa.int32()), mark, prefix, words], ["fid", "n", "mark", "prefix", "bits"])
 
         for batch in batches:
             rows, held = [], 0
             for fid, h in zip(batch.column(0).to_pylist(), stage_shingles(batch.column(1)), strict=True):
                 head = h[np.argsort(rank[_cells(h)], kind="stable")[: prefix_length(len(h))]] if len(h) else np.zeros(1, np.uint64)
-                rows.append((fid, len(h), head, parity(h)))
+                rows.append((fid, len(h), simhash_of(h), head, parity(h)))
                 held += len(head)
                 if held >= BATCH_HASHES:
                     yield made(rows)
@@ -418,7 +434,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             if rows:
                 yield made(rows)
 
-    return docs.select("fid", "text").mapInArrow(giving_back(run), "fid long, n int, prefix array<long>, bits array<long>")
+    return docs.select("fid", "text").mapInArrow(giving_back(run), "fid long, n int, mark long, prefix array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -457,14 +473,33 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def fingerprint_candidates(marks: DataFrame) -> DataFrame:
+    """a, b of the texts (fid, mark; one row a text) whose SimHashes the pigeonhole search links. Of equal fingerprints one
+    text stands for all, and the others are candidates with it."""
+    fps = written(marks.groupBy("mark").agg(F.min("fid").alias("stands"), F.count(F.lit(1)).alias("docs")), "marks")
+    links = near_links(fps.select(F.col("mark").alias("fid"), F.array("mark").alias("fp"), "docs"), 1, STAGE_DISTANCE, STAGE_RADIUS, STAGE_PARTS)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(fps.select(F.col("mark").alias(end), F.col("stands").alias(f"{end}_text")), end)
+    equal = join_groups(marks, fps.where("docs > 1"), ["mark"], "docs", marks.count()).where("fid <> stands")
+    pairs = ends.select("a_text", "b_text").union(equal.select("fid", "stands")).toDF("a", "b")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "linked-texts")
+    dropped(fps, links)
+    return pairs
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """node, root of the texts (fid, text; rows may repeat) that have a link: shingle sets with the similarity.
 
-    A similar pair passes `may` at the first value that its prefixes share: no more than what follows there, in the shorter
-    rest, can be shared. First each member of a value meets one leader (by a hash of both, so that a document meets others
+    First the links that the search of fingerprints finds, checked on the whole sets. Then prefixes: a similar pair passes `may` at the first value that its prefixes share: no more than what follows there, in the shorter
+    rest, can be shared. Each member of a value meets one leader (by a hash of both, so that a document meets others
     at other values), which is linear and unites all but few; then pairs of sets that these haven't united are met.
     """
-    heads = written(prefixes(docs, cell_ranks(docs)).groupBy("fid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes")
+    heads = written(prefixes(docs, cell_ranks(docs)).groupBy("fid").agg(*(F.first(c).alias(c) for c in ("n", "mark", "prefix", "bits"))), "prefixes")
+    linked = fingerprint_candidates(heads.select("fid", "mark"))
+    near = verified(linked, docs)
+    dropped(linked)
+    sets = connected_components(near)
     members = heads.select("fid", "n", F.posexplode("prefix").alias("at", "value"))
     a, b = SIMILAR  # the smaller set of a pair has the first value that they share among its first (b - a) / (a + b)
     front = (a + b) * F.col("at") <= (b - a) * F.col("n")
@@ -484,7 +519,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
     first = members.join(lead, "value").where((F.col("fid") != F.col("fid2")) & may)
     first = first.select(F.least("fid", "fid2").alias("fid"), F.greatest("fid", "fid2").alias("fid2"), (F.col("n") + F.col("n2")).alias("n")).distinct()
     first = first.join(maps, "fid").join(maps.select(F.col("fid").alias("fid2"), *(F.col(c).alias(f"{c}2") for c in bits)), "fid2").withColumn("n2", F.lit(0))
-    star = verified(first.where(few).select(F.col("fid").alias("a"), F.col("fid2").alias("b")), docs)
+    first = first.where(few).select(F.col("fid").alias("a"), F.col("fid2").alias("b"))
+    for end in ("a", "b"):
+        first = first.join(sets.select(F.col("node").alias(end), F.col("root").alias(f"{end}_set")), end, "left")
+    apart = F.coalesce("a_set", "a") != F.coalesce("b_set", "b")
+    star = near.union(verified(first.where(apart).select("a", "b"), docs))
     united = connected_components(star)
     placed = members.join(united.withColumnRenamed("node", "fid"), "fid", "left")
     members_in = written(placed.select("value", *own, F.coalesce("root", "fid").alias("set")), "members-in")

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -509,6 +510,41 @@ def test_stage_finds_every_pair_of_the_similarity(spark, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_stage_searches_fingerprints(spark):
+    rng = random.Random(23)
+    made = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    texts = [" ".join(made(300)) for _ in range(40)]
+    for t in texts[:20]:
+        w = t.split()
+        w[rng.randrange(300)] = "zz"
+        texts += [" ".join(w), t.upper()]
+    rows = list(enumerate([*texts, None, " "]))
+    docs = spark.createDataFrame(rows, "fid long, text string")
+    marks = simhash.prefixes(docs, simhash.cell_ranks(docs)).select("fid", "mark").cache()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {}
+    for (fid, text), h in zip(rows, simhash.stage_shingles(pa.array([t for _, t in rows])), strict=True):
+        want[fid] = signed(sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h)))
+    assert {r.fid: r.mark for r in marks.collect()} == want
+    # of all pairs within the radius, each is in one component of the candidates, and no candidate is beyond the distance
+    bits = lambda a, b: ((want[a] ^ want[b]) & (2**64 - 1)).bit_count()
+    found = simhash.fingerprint_candidates(marks)
+    assert all(bits(r.a, r.b) <= simhash.STAGE_DISTANCE for r in found.collect())
+    root = {r.node: r.root for r in connected_components(found).collect()}
+    close = [(a, b) for a in want for b in range(a) if bits(a, b) <= simhash.STAGE_RADIUS]
+    assert len(close) > 30 and all(root[a] == root[b] for a, b in close)
+
+
+def test_stage_uses_the_search(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " more"), (4, "quite another text of a few words")], "fid long, text string")
+    planned, plan = [], simhash.plan
+    monkeypatch.setattr(simhash, "plan", lambda *a: planned.append(plan(*a)) or planned[-1])
+    assert {r.node: r.root for r in simhash.similar_components(docs).collect()} == {1: 1, 2: 1, 3: 1}
+    (layout, thresholds), = planned
+    assert sorted(b for p in layout for b in p) == list(range(64)) and sum(thresholds) == simhash.STAGE_RADIUS - len(layout) + 1
+
+
 def test_components(spark):
     rng = random.Random(13)
     links = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(200)] + [(rng.randint(5000, 5200), rng.randint(5000, 5200)) for _ in range(90)] + [(7, 7)]
