@@ -69,6 +69,20 @@ def give_back() -> None:
         pass
 
 
+def give_back_on_driver(spark: SparkSession) -> bool:
+    """Have the driver's JVM return freed native memory to the system; whether it could. Planning uses hundreds of short-lived
+    threads, whose allocator pools keep what was freed. Only HotSpot on glibc can; elsewhere nothing happens."""
+    jvm = spark.sparkContext._jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return str(invoke.invoke(server, args)).startswith("Trim native heap")
+    except Exception:  # another JVM, or one before 17.0.9
+        return False
+
+
 def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow that gives its memory back when its task ends."""
 

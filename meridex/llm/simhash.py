@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, giving_back, join_groups, written
+from .common import dropped, give_back_on_driver, giving_back, join_groups, written
 from .components import connected_components
 
 SEED = 42
@@ -335,7 +335,7 @@ def stage_shingles(texts: pa.Array) -> Iterator[np.ndarray]:
         def mixed(k: int, w: np.ndarray) -> np.ndarray:
             h = np.full(max(len(w) - k + 1, 0), k, np.uint64)
             for i in range(k):
-                h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ w[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             return h * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -497,8 +497,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """
     heads = written(prefixes(docs, cell_ranks(docs)).groupBy("fid").agg(*(F.first(c).alias(c) for c in ("n", "mark", "prefix", "bits"))), "prefixes")
     linked = fingerprint_candidates(heads.select("fid", "mark"))
+    give_back_on_driver(docs.sparkSession)
     near = verified(linked, docs)
     dropped(linked)
+    give_back_on_driver(docs.sparkSession)
     sets = connected_components(near)
     members = heads.select("fid", "n", F.posexplode("prefix").alias("at", "value"))
     a, b = SIMILAR  # the smaller set of a pair has the first value that they share among its first (b - a) / (a + b)
@@ -525,6 +527,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     apart = F.coalesce("a_set", "a") != F.coalesce("b_set", "b")
     star = near.union(verified(first.where(apart).select("a", "b"), docs))
     united = connected_components(star)
+    give_back_on_driver(docs.sparkSession)
     placed = members.join(united.withColumnRenamed("node", "fid"), "fid", "left")
     members_in = written(placed.select("value", *own, F.coalesce("root", "fid").alias("set")), "members-in")
     dropped(members)
@@ -534,6 +537,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     met = valued.select("value", *(F.col(c).alias(f"{c}2") for c in (*own, *bits)), F.col("set").alias("set2"))
     once = (F.col("set2") == F.col("largest")) | (F.col("fid") < F.col("fid2"))  # each pair once a value
     pairs = valued.where(F.col("set") != F.col("largest")).join(met, "value").where((F.col("set") != F.col("set2")) & once & may & few)
+    give_back_on_driver(docs.sparkSession)
     found = verified(pairs.select(F.least("fid", "fid2").alias("a"), F.greatest("fid", "fid2").alias("b")).distinct(), docs)
     dropped(valued)
     return connected_components(star.union(found))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from meridex.llm import simhash
+from meridex.llm import common, simhash
 from meridex.llm.components import connected_components
 
 
@@ -56,3 +57,21 @@ def test_near_dedup_costs_the_driver_few_jobs(spark):
     texts += [t + " more" * k for t in texts[::3] for k in range(3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert jobs_of(spark, "near-dedup", lambda: simhash.drop_near_duplicates(docs).collect()) <= 150
+
+
+def test_near_dedup_gives_the_drivers_memory_back(spark, monkeypatch):
+    returned, give_back = [], common.give_back_on_driver
+    monkeypatch.setattr(simhash, "give_back_on_driver", lambda s: returned.append(give_back(s)))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A B C D E F"), (3, "g h i")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3]
+    assert len(returned) == 4 and all(x is returned[0] for x in returned)
+    monkeypatch.setattr(type(spark.sparkContext), "_jvm", None)  # where it can't be done, nothing happens
+    assert give_back(spark) is False
+
+
+@pytest.mark.parametrize("words", range(7))
+def test_shingles_of_a_batch_of_few_words(words):
+    text = " ".join("abcdefg"[:words])
+    alone, = simhash.stage_shingles(pa.array([text]))
+    among, _ = simhash.stage_shingles(pa.array([text, "and a longer text of more than five words"]))
+    assert len(alone) == (max(1, words - 4) if words else 0) and list(alone) == list(among)
